@@ -40,7 +40,8 @@ WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18  # size of the table of counts, whatever the data
 REGION = 20_000  # a region expected to hold more documents is cut again
 DEPTH = 4  # most words that name a region
-PAIRS = 1 << 21  # pairs looked at in one step
+PAIRS = 1 << 20  # pairs looked at closely in one step
+SMALL, BLOCK, WIDE = 24, 64, 8192  # rows of a small region; rectangles of a large one
 _U = np.uint64
 
 
@@ -244,58 +245,80 @@ def _join_regions(t: Fraction):
         wide_of[back[has]] = np.arange(len(has))
         width = np.array([len(x) for x in raw] or [2], dtype=np.int64)
         levels = {int(w): np.stack([_fold(x, int(w)) if len(x) >= w else np.zeros(int(w), np.uint64) for x in raw]) for w in np.unique(width)} if raw else {}
-        # for every index row the rows after it in its region that are not too long for it
-        region_end = np.searchsorted(key, key, side="right")
-        y = np.nonzero((role & 2 > 0) & (region_end - np.arange(len(key)) > 1))[0]
-        if not len(y):
-            return
-        longest = n[y] * q // p
-        first = y + 1
-        last = np.empty(len(y), dtype=np.int64)
-        lo, hi = first.copy(), region_end[y].copy()
-        while True:  # all binary searches at once
-            open_ = lo < hi
-            if not open_.any():
-                break
-            mid = (lo + hi) // 2
-            ok = open_ & (n[np.minimum(mid, len(n) - 1)] <= longest)
-            lo = np.where(ok, mid + 1, lo)
-            hi = np.where(open_ & ~ok, mid, hi)
-        last = lo
-        many = last - first
-        y, first, many = y[many > 0], first[many > 0], many[many > 0]
         found: list[np.ndarray] = []
-        at = 0
-        total = np.cumsum(many)
-        while at < len(y):
-            upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
-            own = slice(at, upto)
-            for a in range(0, int(many[at]) if upto == at + 1 else 1, PAIRS):  # one row may have more partners than a step takes
-                m = np.minimum(many[own] - a, PAIRS) if upto == at + 1 else many[own]
-                i = np.repeat(y[own], m)
-                j = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[own] + a, m)
-                both = n[i] + n[j]
-                need = -((-p * both) // (p + q))
-                ok = (role[j] & 1 > 0) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (ids[i] != ids[j])
-                i, j, most = i[ok], j[ok], (both - 2 * need)[ok]
-                ok = np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1) <= most
-                i, j, most = i[ok], j[ok], most[ok]
-                a_, b_ = wide_of[i], wide_of[j]
-                long_ = np.nonzero((a_ >= 0) & (b_ >= 0))[0]
-                if len(long_):
-                    keep = np.ones(len(i), dtype=bool)
-                    w = np.minimum(width[a_[long_]], width[b_[long_]])
-                    for x in np.unique(w):
-                        z = long_[w == x]
-                        for c in range(0, len(z), 1 << 17):
-                            zz = z[c : c + (1 << 17)]
-                            keep[zz] = np.bitwise_count(levels[int(x)][a_[zz]] ^ levels[int(x)][b_[zz]]).sum(axis=1) <= most[zz]
-                    i, j = i[keep], j[keep]
-                if len(i):
-                    found.append(np.stack([kind[i].astype(np.int64), np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
-            if len(found) > 64:
-                found = [np.unique(np.concatenate(found), axis=0)]
-            at = upto
+        held_pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def settle() -> None:
+            """Exact bounds for the pairs that passed the first look."""
+            nonlocal waiting
+            if not held_pairs:
+                return
+            i, j = (np.concatenate(x) for x in zip(*held_pairs))
+            held_pairs.clear()
+            waiting = 0
+            both = n[i] + n[j]
+            need = -((-p * both) // (p + q))
+            most = both - 2 * need
+            ok = (role[i] & 2 > 0) & (role[j] & 1 > 0) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (ids[i] != ids[j])
+            ok &= np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1) <= most
+            i, j, most = i[ok], j[ok], most[ok]
+            a_, b_ = wide_of[i], wide_of[j]
+            long_ = np.nonzero((a_ >= 0) & (b_ >= 0))[0]
+            if len(long_):
+                keep = np.ones(len(i), dtype=bool)
+                w = np.minimum(width[a_[long_]], width[b_[long_]])
+                for x in np.unique(w):
+                    z = long_[w == x]
+                    for c in range(0, len(z), 1 << 17):
+                        zz = z[c : c + (1 << 17)]
+                        keep[zz] = np.bitwise_count(levels[int(x)][a_[zz]] ^ levels[int(x)][b_[zz]]).sum(axis=1) <= most[zz]
+                i, j = i[keep], j[keep]
+            if len(i):
+                found.append(np.stack([kind[i].astype(np.int64), np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+                if len(found) > 64:
+                    found[:] = [np.unique(np.concatenate(found), axis=0)]
+
+        def hold(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal waiting
+            if len(i):
+                held_pairs.append((i, j))
+                waiting += len(i)
+                if waiting > PAIRS:
+                    settle()
+
+        # A row meets the rows after it in its region that are not too long for it. Small regions are paired by offset,
+        # all of them at once; large ones in blocks, where whole rectangles of sketches are compared.
+        s0, s1 = np.ascontiguousarray(sk[:, 0]), np.ascontiguousarray(sk[:, 1])
+        longest = n * q // p
+        slack = (q - p) * (n + longest) // (p + q)  # most differing tokens with any such partner
+        is_y = role & 2 > 0
+        edge = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
+        length = np.diff(edge)
+        small = length <= SMALL
+        row_region = np.repeat(np.arange(len(length)), length)
+        rest = edge[1:][row_region] - np.arange(len(key)) - 1  # rows after this one
+        for step in range(1, SMALL):
+            i = np.nonzero(small[row_region] & is_y & (rest >= step))[0]
+            if not len(i):
+                break
+            j = i + step
+            ok = (n[j] <= longest[i]) & (np.bitwise_count(s0[i] ^ s0[j]).astype(np.int16) + np.bitwise_count(s1[i] ^ s1[j]) <= slack[i])
+            hold(i[ok], j[ok])
+        for r in np.nonzero(~small)[0]:
+            lo, hi = int(edge[r]), int(edge[r + 1])
+            y = lo + np.nonzero(is_y[lo:hi])[0]
+            for c in range(0, len(y), BLOCK):
+                ys = y[c : c + BLOCK]
+                far = lo + int(np.searchsorted(n[lo:hi], longest[ys[-1]], side="right"))
+                for a in range(int(ys[0]) + 1, far, WIDE):
+                    b = min(a + WIDE, far)
+                    bits = np.bitwise_count(s0[ys, None] ^ s0[None, a:b]) + np.bitwise_count(s1[ys, None] ^ s1[None, a:b])
+                    u, v = np.nonzero(bits <= np.minimum(slack[ys], 255).astype(np.uint8)[:, None])
+                    i, j = ys[u], a + v
+                    ok = (j > i) & (n[j] <= longest[i])
+                    hold(i[ok], j[ok])
+        settle()
         if found:
             all_ = np.unique(np.concatenate(found), axis=0)
             for a in range(0, len(all_), 200_000):
