@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import records
+from . import records, versions
 
-FLAGSHIP = "p5_found"
-QUERIES = {**records.QUERIES}
-SQL = {**records.SQL}
+FLAGSHIP = "lint_summary"
+QUERIES = {**records.QUERIES, **versions.QUERIES}
+SQL = {**records.SQL, **versions.SQL}
