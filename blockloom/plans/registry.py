@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import records, versions
+from . import identity, records, versions
 
 FLAGSHIP = "lint_summary"
-QUERIES = {**records.QUERIES, **versions.QUERIES}
-SQL = {**records.SQL, **versions.SQL}
+QUERIES = {**records.QUERIES, **versions.QUERIES, **identity.QUERIES}
+SQL = {**records.SQL, **versions.SQL, **identity.SQL}
