@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import diff, lint, segment
 
 SUFFIX = r"\.(md|markdown)$"
@@ -33,7 +34,7 @@ def deleted(entries: DataFrame) -> DataFrame:
 def ids_of(entries: DataFrame, path: str, text: str) -> DataFrame:
     """(commit_id, path, id) of the well-formed markers on content blocks."""
     docs = entries.select("commit_id", F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return diff.id_index(segment.blocks(docs, KEY), KEY).select(*KEY, "id")
+    return stored(diff.id_index(segment.blocks(docs, KEY), KEY).select(*KEY, "id"), "ids")
 
 
 def pairings(entries: DataFrame) -> DataFrame:
@@ -77,14 +78,14 @@ def findings(entries: DataFrame, check_collections: bool = False) -> DataFrame:
     """
     c = changed(entries)
     after = c.select("commit_id", F.col("dst").alias("path"), F.coalesce("after", F.lit("")).alias("text"))
-    blocks = segment.blocks(after, KEY)
+    blocks = stored(segment.blocks(after, KEY), "blocks")
     own = lint.marker_findings(segment.markers(blocks, KEY), KEY).select(*KEY, "level", "code", "message", "id", "line")
-    pairs = pairings(entries).where("origin is not null").select("commit_id", F.col("dst").alias("path"), "origin")
+    pairs = stored(pairings(entries).where("origin is not null").select("commit_id", F.col("dst").alias("path"), "origin"), "pairs")
     texts = entries.select("commit_id", F.col("src").alias("origin"), "before").where("before is not null").dropDuplicates(["commit_id", "origin"])
     before = pairs.join(texts, ["commit_id", "origin"]).select(*KEY, F.col("before").alias("text"))
-    index = diff.id_index(blocks, KEY)
+    index = stored(diff.id_index(blocks, KEY), "index")
     compared = diff.compare(diff.id_index(segment.blocks(before, KEY), KEY), index.join(pairs.select(*KEY), KEY, "left_semi"), KEY)
-    both = own.unionByName(diff.findings(compared, KEY, check_collections).select(*KEY, "level", "code", "message", "id", "line"))
+    both = stored(own.unionByName(diff.findings(compared, KEY, check_collections).select(*KEY, "level", "code", "message", "id", "line")), "both")
     carried = index.select("commit_id", "id", F.col("path").alias("other"))
     drops = both.where("code = 'DROPPED_ID'").select(*KEY, "id").distinct()
     moved = drops.join(carried, ["commit_id", "id"]).where("other != path").groupBy(*KEY, "id").agg(F.array_join(F.sort_array(F.collect_set("other")), ", ").alias("moved_to"))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions.headings import canonical_path, paths_by_line
 from ..functions.similarity import Candidates
 from ..functions.text import window_prefix, window_suffix
+from ..session import stored
 from .segment import document_lines
 
 THRESHOLD, MARGIN, BONUS = 0.5, 0.05, 0.12
@@ -69,7 +70,7 @@ def resolve(anchor_rows: DataFrame, after: DataFrame, keys: list[str], threshold
     """
     if heading_mode not in MODES:
         raise ValueError(f"heading_mode must be one of {MODES}")
-    tiers = by_marker_and_hash(anchor_rows, after, keys)
+    tiers = stored(by_marker_and_hash(anchor_rows, after, keys), "tiers")  # read twice
     done = tiers.where("method is not null").select(*keys, "id", "method", F.col("target").cast("int"), "score")
     has_path = heading_mode != "off"
     path = F.coalesce("path", F.array().cast("array<string>")) if has_path else F.array().cast("array<string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import cache, commit, diff, dogfood, lint, perturb, resolve, score, segment, stamp, survival
-from ..session import table
+from ..session import stored, table
 from . import sql
 from .corpus import KEYS, dirty, documents, edited
 from .versions import _DIFFS, _DIRTY, _FOUND, _PAIRS, _PLAIN
@@ -47,7 +47,7 @@ def resolve_marker_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve(resolve.anchors(_before(spark, sf_dir), KEYS), _after(spark, sf_dir), KEYS)
+    return resolve.resolve(resolve.anchors(_before(spark, sf_dir), KEYS), stored(_after(spark, sf_dir), "after"), KEYS)
 
 
 def twin_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,14 +77,15 @@ STUDY = ("reorder", "delete", "clone")
 
 def evaluated(spark: SparkSession, sf_dir: str, ops: tuple[str, ...] = STUDY) -> DataFrame:
     """Every id of every document after every edit without markers: category, method and score."""
-    base = perturb.annotate(_before(spark, sf_dir), KEYS)
+    base = stored(perturb.annotate(_before(spark, sf_dir), KEYS), "annotated")
     first = resolve.anchors(segment.blocks(base.select("doc_id", perturb.serialize(F.col("pb"), False).alias("text")), KEYS), KEYS)
     keys = ["op", *KEYS]
     applied = None
     for op in ops:
         one = perturb.apply(base, KEYS, op)
         applied = one if applied is None else applied.unionByName(one)
-    after = segment.blocks(applied.select("op", "doc_id", perturb.serialize(F.col("pb"), True).alias("text")), keys)
+    applied = stored(applied, "applied")
+    after = stored(segment.blocks(applied.select("op", "doc_id", perturb.serialize(F.col("pb"), True).alias("text")), keys), "after")
     anchor_rows = first.withColumn("op", F.explode(F.array(*map(F.lit, ops))))
     return score.scored(perturb.truth_rows(applied, KEYS), resolve.resolve(anchor_rows, after, keys), keys)
 
@@ -168,7 +169,7 @@ def commit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entries(spark, sf_dir)
+    e = stored(entries(spark, sf_dir), "entries")
     return commit.move_notes(commit.findings(e)).unionByName(commit.deletion_notes(e)).distinct()
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import identity, records, versions
+from . import documents, identity, records, versions
 
 FLAGSHIP = "lint_summary"
-QUERIES = {**records.QUERIES, **versions.QUERIES, **identity.QUERIES}
-SQL = {**records.SQL, **versions.SQL, **identity.SQL}
+QUERIES = {**records.QUERIES, **versions.QUERIES, **identity.QUERIES, **documents.QUERIES}
+SQL = {**records.SQL, **versions.SQL, **identity.SQL, **documents.SQL}
