@@ -421,7 +421,7 @@ def _markdown(t: str, spans: list[Span], edges: list[tuple[int, int, float]]) ->
     for sign, pattern in (("*", STARS), ("_", LOW_LINES), ("~~", STRIKE)):
         if sign in t:
             for m in pattern.finditer(t):
-                digits = bool(re.fullmatch(r"[\d\s.,x*+-]+", m[2]))
+                digits = bool(re.fullmatch(r"[\d\s.,x*+-]*\d[\d\s.,x*+-]*", m[2]))
                 spans.append(Span(*m.span(), "markdown", "emphasis", m[2], 2.5 if digits else 0.3, 1.5))
 
 
