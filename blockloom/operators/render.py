@@ -6,11 +6,10 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import first_line, visible_tags_removed
 from . import diff, segment
@@ -24,7 +23,7 @@ SEVERITY = {
 KEY = ["run_id"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(t: pd.Series) -> pd.Series:
     return t.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
 
