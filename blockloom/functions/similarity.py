@@ -60,12 +60,12 @@ class Candidates:
             self.cache[a, b] = ratio(a, b)
         return self.cache[a, b]
 
-    def best(self, quote: str, prefix: str, suffix: str, path: tuple[str, ...] = (), mode: str = "off", weight: float = 0.12, threshold: float = 0.5, clamp: bool = True) -> tuple[int, float, float]:
+    def best(self, quote: str, prefix: str, suffix: str, path: tuple[str, ...] = (), mode: str = "off", weight: float = 0.12, gate: float = 0.5, clamp: bool = True) -> tuple[int, float, float]:
         """(index, score, runner-up) of the best candidate; (-1, 0, 0) without any.
 
         Ties go to the higher index. Where the anchor has a heading path, candidates under the same path get a bonus, or
         the others a penalty or no chance at all, according to ``mode``; bonus and penalty need a body score of
-        ``threshold``. With ``clamp`` both scores end at 1. Candidates are taken in the order of an upper bound and the
+        ``gate``. With ``clamp`` both scores end at 1. Candidates are taken in the order of an upper bound and the
         walk ends where no bound can reach the runner-up, so the result is that of scoring all of them.
         """
         q = match_form(quote)
@@ -93,7 +93,7 @@ class Candidates:
                 score += CONTEXT_WEIGHT * self._context(pre, self.before[i])
             if suffix:
                 score += CONTEXT_WEIGHT * self._context(suf, self.after[i])
-            if use and body >= threshold:
+            if use and body >= gate:
                 score += weight if mode == "bonus" and same else -weight if mode == "penalty" and not same else 0.0
             top = sorted([*top, (score, i)], reverse=True)[:2]
         if not top:

@@ -7,9 +7,14 @@ A document is a row with ``pb``, its blocks as array of (text, ids). An edit giv
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
+from ..functions.similarity import bound, ratio
 from ..functions.text import block_id, body_hash, heading_level, kind
 
 PB = "array<struct<text:string,ids:array<string>>>"
@@ -198,8 +203,39 @@ def heading_delete(pb: Column) -> tuple[Column, Column]:
     return _replace(pb, at), _detach(F.get(pb, at))
 
 
+@F.pandas_udf(IntegerType())
+def _least_rivalled(texts: pd.Series, candidates: pd.Series) -> pd.Series:
+    """The candidate whose greatest similarity to any other block is least; the first of equals, null without any."""
+
+    def one(ts, cs) -> int | None:
+        forms = [" ".join(t.strip().lower().split()) for t in ts]
+        letters = [Counter(f) for f in forms]
+        least, found = 2.0, None
+        for i in cs:
+            limits = sorted(((bound(letters[i], len(forms[i]), letters[j], len(f)), j) for j, f in enumerate(forms) if j != i and f), reverse=True) if forms[i] else []
+            most = 0.0
+            for limit, j in limits:  # ends when no other can be nearer, or when this one cannot be the least
+                if limit <= most or most >= least:
+                    break
+                most = max(most, ratio(forms[i], forms[j]))
+            if most < least:
+                least, found = most, i
+        return found
+
+    return pd.Series([one(t, c) for t, c in zip(texts, candidates)], dtype="Int32")
+
+
+def cross_section_move_edit(pb: Column) -> tuple[Column, Column]:
+    """The block under a later heading that is least like any other, moved to the end and drifted."""
+    second = _first(_headings(pb), 1)
+    candidates = F.coalesce(_positions(pb, lambda b, i: (i > second) & (heading_level(b["text"]) == 0) & (F.size(b["ids"]) > 0)), F.array().cast("array<int>"))
+    src = _least_rivalled(F.transform(pb, lambda b: b["text"]), candidates)
+    b = F.get(pb, src)
+    return _moved(pb, src, block(drift(b["text"]), b["ids"])), _no_truth()
+
+
 OPERATORS = {f.__name__: f for f in (reorder, edit_in_place, heavy_paraphrase, split, merge, delete, insert, decoy, clone)}
-SECTION_OPERATORS = {f.__name__: f for f in (cross_section_move, section_move, heading_rename, heading_delete)}
+SECTION_OPERATORS = {f.__name__: f for f in (cross_section_move, cross_section_move_edit, section_move, heading_rename, heading_delete)}
 
 
 def apply(annotated: DataFrame, keys: list[str], op: str) -> DataFrame:

@@ -62,10 +62,11 @@ def by_marker_and_hash(anchor_rows: DataFrame, after: DataFrame, keys: list[str]
     return rows.withColumn("method", method).withColumn("target", F.coalesce("by_marker", "by_hash")).withColumn("score", F.when(method.isNotNull(), 1.0)).drop("by_marker", "by_hash")
 
 
-def resolve(anchor_rows: DataFrame, after: DataFrame, keys: list[str], threshold: float = THRESHOLD, margin: float = MARGIN, heading_mode: str = "off", weight: float = BONUS, clamp: bool = True) -> DataFrame:
+def resolve(anchor_rows: DataFrame, after: DataFrame, keys: list[str], threshold: float = THRESHOLD, margin: float = MARGIN, heading_mode: str = "off", weight: float = BONUS, clamp: bool = True, gate: float | None = None) -> DataFrame:
     """(keys, id, method, target, score) of every id; detached ids have no target and the best score there was.
 
-    ``heading_mode`` needs a ``path`` column (array of titles) on both sides. Anchors that no marker and no hash settles
+    ``heading_mode`` needs a ``path`` column (array of titles) on both sides; its weight acts on candidates whose body
+    score reaches ``gate`` (the threshold if not given). Anchors that no marker and no hash settles
     are scored in rows of at most SHARE of a document, so that a large document is spread over tasks.
     """
     if heading_mode not in MODES:
@@ -86,7 +87,7 @@ def resolve(anchor_rows: DataFrame, after: DataFrame, keys: list[str], threshold
             for r in b.to_pylist():
                 found = Candidates([x["content"] for x in r["blocks"]], [canonical_path(x["path"]) for x in r["blocks"]])
                 for a in r["anchors"]:
-                    i, score, runner = found.best(a["quote"] or "", a["prefix"] or "", a["suffix"] or "", canonical_path(a["path"]), heading_mode, weight, threshold, clamp)
+                    i, score, runner = found.best(a["quote"] or "", a["prefix"] or "", a["suffix"] or "", canonical_path(a["path"]), heading_mode, weight, threshold if gate is None else gate, clamp)
                     sure = i >= 0 and score >= threshold and score - runner >= margin
                     for f in kept:
                         out[f.name].append(r[f.name])
