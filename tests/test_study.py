@@ -8,7 +8,7 @@ TEXT = """# Guide
 
 The archive keeps every snapshot for thirty days, and older ones are removed.
 
-The archive keeps every snapshot for ninety days, and older ones are removed.
+Backups run at night in the smaller region and never take a lock on anything.
 
 ## Setup
 
