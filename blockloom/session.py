@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -48,13 +49,20 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    to = os.path.join(tempfile.mkdtemp(prefix="blockloom-"), "blockloom.zip")  # the driver serves it from here
-    with zipfile.ZipFile(to, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(root):
             for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(folder, f)
                     z.write(full, os.path.join("blockloom", os.path.relpath(full, root)))
+    to = f"{shared_dir(spark)}/blockloom-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False)
+    try:
+        out.write(bytearray(packed.getvalue()))
+    finally:
+        out.close()
     sc.addPyFile(to)
     _shipped.add(sc.applicationId)
 
