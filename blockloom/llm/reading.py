@@ -170,9 +170,12 @@ def english(lang: Column) -> Column:
 
 
 def train(documents: DataFrame, reading_labels: DataFrame, limit: int = LABELLED) -> Model | None:
-    """Fit on at most ``limit`` labelled documents, a sample by hash that is the same at every size of the rest."""
+    """Fit on at most ``limit`` labelled documents, a sample by hash that is the same at every size of the rest.
+
+    The labels are broadcast: they are at most ``limit`` numbers, so that no text is shuffled.
+    """
     known = labels(reading_labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = documents.join(known, "doc_id").where(english(F.col("lang"))).select("doc_id", "text", "grade")
+    rows = documents.join(F.broadcast(known), "doc_id").where(english(F.col("lang"))).select("doc_id", "text", "grade")
     return fit([(r["doc_id"], r["text"], r["grade"]) for r in rows.toLocalIterator() if r["text"]])
 
 
