@@ -54,12 +54,18 @@ class Candidates:
         self.after = [*(match_form(t[:WINDOW]) for t in texts[1:]), ""] if texts else []
         self.paths = paths or [()] * len(texts)
         self.cache: dict[tuple[str, str], float] = {}
+        self.bodies: dict[tuple[str, str], float] = {}  # the caller clears it after each quote
 
     def _context(self, a: str, b: str) -> float:
         if (a, b) not in self.cache:
             self.cache[a, b] = ratio(a, b)
         return self.cache[a, b]
 
+    def _body(self, q: str, c: str) -> float:
+        if (q, c) not in self.bodies:
+            self.bodies[q, c] = body_score(q, c)
+        return self.bodies[q, c]
+
     def best(self, quote: str, prefix: str, suffix: str, path: tuple[str, ...] = (), mode: str = "off", weight: float = 0.12, gate: float = 0.5, clamp: bool = True) -> tuple[int, float, float]:
         """(index, score, runner-up) of the best candidate; (-1, 0, 0) without any.
 
@@ -87,7 +93,7 @@ class Candidates:
         for limit, i, same in limits:
             if len(top) == 2 and limit < top[1][0]:
                 break
-            body = body_score(q, self.forms[i])
+            body = self._body(q, self.forms[i])
             score = body
             if prefix:
                 score += CONTEXT_WEIGHT * self._context(pre, self.before[i])

@@ -69,11 +69,23 @@ def resolve(anchor_rows: DataFrame, after: DataFrame, keys: list[str], threshold
     score reaches ``gate`` (the threshold if not given). Anchors that no marker and no hash settles
     are scored in rows of at most SHARE of a document, so that a large document is spread over tasks.
     """
-    if heading_mode not in MODES:
-        raise ValueError(f"heading_mode must be one of {MODES}")
+    rows = resolve_under(anchor_rows, after, keys, [dict(threshold=threshold, margin=margin, heading_mode=heading_mode, weight=weight, clamp=clamp, gate=gate)])
+    return rows.select(*keys, "id", F.col("found")[0]["method"].alias("method"), F.col("found")[0]["target"].alias("target"), F.col("found")[0]["score"].alias("score"))
+
+
+def resolve_under(anchor_rows: DataFrame, after: DataFrame, keys: list[str], settings: list[dict]) -> DataFrame:
+    """(keys, id, found): an array of (method, target, score), what ``resolve`` gives under each of ``settings``.
+
+    The tiers and the scores of bodies do not depend on the setting, so they are made once for all of them.
+    """
+    defaults = dict(threshold=THRESHOLD, margin=MARGIN, heading_mode="off", weight=BONUS, clamp=True, gate=None)
+    settings = [defaults | s for s in settings]
+    if any(s["heading_mode"] not in MODES or s.keys() != defaults.keys() for s in settings):
+        raise ValueError(f"settings are of {list(defaults)}; heading_mode must be one of {MODES}")
     tiers = stored(by_marker_and_hash(anchor_rows, after, keys), "tiers")  # read twice
-    done = tiers.where("method is not null").select(*keys, "id", "method", F.col("target").cast("int"), "score")
-    has_path = heading_mode != "off"
+    one = F.struct("method", F.col("target").cast("int").alias("target"), "score")
+    done = tiers.where("method is not null").select(*keys, "id", F.array_repeat(one, len(settings)).alias("found"))
+    has_path = any(s["heading_mode"] != "off" for s in settings)
     path = F.coalesce("path", F.array().cast("array<string>")) if has_path else F.array().cast("array<string>")
     left = tiers.where("method is null").select(*keys, F.struct("id", "quote", "prefix", "suffix", path.alias("path")).alias("a"), F.row_number().over(Window.partitionBy(*keys).orderBy("id")).alias("n"))
     shares = left.groupBy(*keys, F.floor((F.col("n") - 1) / SHARE).alias("share")).agg(F.collect_list("a").alias("anchors"))
@@ -83,20 +95,23 @@ def resolve(anchor_rows: DataFrame, after: DataFrame, keys: list[str], threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {f.name: [] for f in kept} | {"id": [], "method": [], "target": [], "score": []}
+            out: dict[str, list] = {f.name: [] for f in kept} | {"id": [], "found": []}
             for r in b.to_pylist():
-                found = Candidates([x["content"] for x in r["blocks"]], [canonical_path(x["path"]) for x in r["blocks"]])
+                near = Candidates([x["content"] for x in r["blocks"]], [canonical_path(x["path"]) for x in r["blocks"]])
                 for a in r["anchors"]:
-                    i, score, runner = found.best(a["quote"] or "", a["prefix"] or "", a["suffix"] or "", canonical_path(a["path"]), heading_mode, weight, threshold if gate is None else gate, clamp)
-                    sure = i >= 0 and score >= threshold and score - runner >= margin
+                    own, each = canonical_path(a["path"]), []
+                    for s in settings:
+                        gate = s["threshold"] if s["gate"] is None else s["gate"]
+                        i, score, runner = near.best(a["quote"] or "", a["prefix"] or "", a["suffix"] or "", own, s["heading_mode"], s["weight"], gate, s["clamp"])
+                        sure = i >= 0 and score >= s["threshold"] and score - runner >= s["margin"]
+                        each.append({"method": "quote" if sure else "detached", "target": r["blocks"][i]["idx"] if sure else None, "score": score})
+                    near.bodies.clear()
                     for f in kept:
                         out[f.name].append(r[f.name])
                     out["id"].append(a["id"])
-                    out["method"].append("quote" if sure else "detached")
-                    out["target"].append(r["blocks"][i]["idx"] if sure else None)
-                    out["score"].append(score)
-            types = [b.schema.field(f.name).type for f in kept] + [pa.string(), pa.string(), pa.int32(), pa.float64()]
+                    out["found"].append(each)
+            types = [b.schema.field(f.name).type for f in kept] + [pa.string(), pa.list_(pa.struct({"method": pa.string(), "target": pa.int32(), "score": pa.float64()}))]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", id string, method string, target int, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", id string, found array<struct<method:string,target:int,score:double>>"
     return done.unionByName(rows.mapInArrow(run, schema))

@@ -24,11 +24,11 @@ def scored(truth: DataFrame, resolved: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, "id", category(F.col("accept"), F.col("target")).alias("cat"), F.coalesce("method", F.lit("detached")).alias("method"), "score", "target")
 
 
-def tally(rows: DataFrame, by: list[str], total: bool = False) -> DataFrame:
+def tally(rows: DataFrame, by: list[str], total: bool = False, more: list[Column] | None = None) -> DataFrame:
     """Counts of the categories by group; with ``total`` also over all groups, with nulls for their names."""
     counts = [F.count_if(F.col("cat") == c).alias(c) for c in CATEGORIES]
     grouped = rows.rollup(*by) if total else rows.groupBy(*by)
-    return grouped.agg(*counts, F.count("*").alias("n"))
+    return grouped.agg(*counts, F.count("*").alias("n"), *(more or []))
 
 
 def merged(counts: DataFrame, by: list[str]) -> DataFrame:

@@ -41,31 +41,38 @@ class Study:
     def scored(self, **setting) -> DataFrame:
         return score.scored(self.truth, resolve.resolve(self.anchors, self.blocks, self.all, **setting), self.all)
 
+    def scored_under(self, settings: dict, name: str, control=None) -> DataFrame:
+        """``scored`` under each of ``settings`` in one pass over the texts; column ``name`` holds their names.
+
+        With ``control``, the name of a setting, ``was`` holds the category under it.
+        """
+        names = list(settings)
+        rows = self.truth.join(resolve.resolve_under(self.anchors, self.blocks, self.all, list(settings.values())), [*self.all, "id"], "left")
+        found = F.coalesce("found", F.array_repeat(F.lit(None).cast("struct<method:string,target:int,score:double>"), len(names)))
+        was = score.category(F.col("accept"), F.get(found, names.index(control))["target"]) if control in names else F.lit(None).cast("string")
+        each = rows.select(*self.all, "id", "accept", was.alias("was"), F.posexplode(found).alias("n", "r")).select("*", F.col("r.target").alias("target"))
+        cat = score.category(F.col("accept"), F.col("target"))
+        return each.select(*self.all, "id", cat.alias("cat"), F.coalesce("r.method", F.lit("detached")).alias("method"), "r.score", "target", F.get(F.array(*map(F.lit, names)), F.col("n")).alias(name), "was")
+
 
 def arms(study: Study, names: list[str] | None = None) -> DataFrame:
-    """(arm, keys, op, id, cat, ...) under every arm."""
-    out = None
-    for name, clamp, mode, weight, gate in ARMS:
-        if names is None or name in names:
-            one = study.scored(heading_mode=mode, weight=weight, clamp=clamp, gate=gate).withColumn("arm", F.lit(name))
-            out = one if out is None else out.unionByName(one)
-    return out
+    """(arm, keys, op, id, cat, was, ...) under every arm; ``was`` is the category under the control."""
+    chosen = {name: dict(heading_mode=mode, weight=weight, clamp=clamp, gate=gate) for name, clamp, mode, weight, gate in ARMS if names is None or name in names}
+    return study.scored_under(chosen, "arm", CONTROL)
 
 
-def arm_report(scored: DataFrame, keys: list[str]) -> DataFrame:
+def arm_report(scored: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Counts and rates by arm, with the recoveries of the control that an arm loses and the harm it adds, id by id."""
-    case = ["op", *keys, "id"]
-    base = scored.where(F.col("arm") == CONTROL).select(*case, F.col("cat").alias("was"))
-    both = scored.join(base, case, "left")
     bad = F.col("cat").isin("wrong", "false_attach") & ~F.col("was").isin("wrong", "false_attach")
-    extra = both.groupBy("arm").agg(F.count_if((F.col("was") == "correct") & (F.col("cat") != "correct")).alias("lost"), F.count_if(bad).alias("unsafe"))
-    return score.rates(score.tally(scored, ["arm"])).join(extra, "arm")
+    extra = [F.count_if((F.col("was") == "correct") & (F.col("cat") != "correct")).alias("lost"), F.count_if(bad).alias("unsafe")]
+    return score.rates(score.tally(scored, [*by, "arm"], more=extra))
+
+
+def margins(study: Study, values: tuple[float, ...] = (0.0, resolve.MARGIN)) -> DataFrame:
+    """(margin, keys, op, id, cat, ...) under every margin."""
+    return study.scored_under({m: dict(margin=m) for m in values}, "margin")
 
 
-def margin_ablation(study: Study, margins: tuple[float, ...] = (0.0, resolve.MARGIN)) -> DataFrame:
+def margin_ablation(study: Study, values: tuple[float, ...] = (0.0, resolve.MARGIN)) -> DataFrame:
     """Counts and rates by margin."""
-    out = None
-    for m in margins:
-        one = study.scored(margin=m).withColumn("margin", F.lit(m))
-        out = one if out is None else out.unionByName(one)
-    return score.rates(score.tally(out, ["margin"]))
+    return score.rates(score.tally(margins(study, values), ["margin"]))

@@ -72,31 +72,37 @@ def _truth(op: str):
     return run
 
 
-STUDY = ("reorder", "delete", "clone")
+STUDY = tuple(perturb.OPERATORS | perturb.SECTION_OPERATORS)
+
+
+def _studied(spark: SparkSession, sf_dir: str, cases, ops: tuple[str, ...] = STUDY, paths: bool = False) -> DataFrame:
+    """``cases`` of the study of all edits, with markers stripped and kept; column ``markers`` tells which."""
+    runs = [cases(study.Study(documents(spark, sf_dir), KEYS, list(ops), strip, paths)).withColumn("markers", F.lit(name)) for name, strip in (("stripped", True), ("kept", False))]
+    return runs[0].unionByName(runs[1])
 
 
 def evaluated(spark: SparkSession, sf_dir: str, ops: tuple[str, ...] = STUDY) -> DataFrame:
-    """Every id of every document after every edit without markers: category, method and score."""
-    return study.Study(documents(spark, sf_dir), KEYS, list(ops)).scored()
+    """Every id of every document after every edit, without and with markers: category, method and score."""
+    return _studied(spark, sf_dir, lambda s: s.scored(), ops)
 
 
 def margin_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return study.margin_ablation(study.Study(documents(spark, sf_dir), KEYS, ["delete"]))
+    """Margin 0 and the usual one under every edit."""
+    return score.rates(score.tally(_studied(spark, sf_dir, study.margins), ["markers", "op", "margin"]))
 
 
 def heading_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The control and two arms of heading preference under a renamed heading."""
-    made = study.Study(documents(spark, sf_dir), KEYS, ["heading_rename"], paths=True)
-    return study.arm_report(study.arms(made, ["A", "B12c", "D12c"]), KEYS)
+    """All arms of heading preference under every edit."""
+    return study.arm_report(_studied(spark, sf_dir, study.arms, paths=True), KEYS, ("markers", "op"))
 
 
 def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = score.rates(score.tally(evaluated(spark, sf_dir), ["op"], total=True))
+    cells = score.rates(score.tally(evaluated(spark, sf_dir), ["markers", "op"], total=True))
     return score.with_interval(cells.withColumn("survived", F.col("correct") + F.col("wrong") + F.col("missed")), "correct", "survived", "low", "high")
 
 
 def eval_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.grouping(evaluated(spark, sf_dir), ["op", "method"])
+    return score.grouping(evaluated(spark, sf_dir), ["markers", "op", "method"])
 
 
 def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,3 +43,27 @@ def test_facade(spark):
     assert one.chunks(strict=True).count() == one.blocks.count() == 8
     one.register("v_")
     assert spark.sql("select count(*) from v_markers").first()[0] == 8
+
+
+def test_study_queries_cover_every_edit(spark, tmp_path):
+    from blockloom.plans import identity
+
+    spark.createDataFrame([(1, TEXT)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    ops, both = set(perturb.OPERATORS | perturb.SECTION_OPERATORS), {"stripped", "kept"}
+    cells = identity.eval_rollup(spark, str(tmp_path)).collect()
+    assert {(r.markers, r.op) for r in cells if r.op} == {(m, o) for m in both for o in ops}
+    total = next(r for r in cells if r.markers is None)
+    assert total.n == sum(r.n for r in cells if r.op)
+    by_margin = identity.margin_ablation(spark, str(tmp_path)).collect()
+    assert {(r.markers, r.op, r.margin) for r in by_margin} == {(m, o, x) for m in both for o in ops for x in (0.0, 0.05)}
+    by_arm = identity.heading_arms(spark, str(tmp_path)).collect()
+    assert {(r.markers, r.op, r.arm) for r in by_arm} == {(m, o, a[0]) for m in both for o in ops for a in study.ARMS}
+
+
+def test_settings_in_one_pass_give_what_each_gives_alone(spark):
+    s = study.Study(spark.createDataFrame([("a", TEXT)], "doc string, text string"), K, ["heavy_paraphrase", "decoy", "cross_section_move_edit"], paths=True)
+    got = study.arms(s)
+    for name, clamp, mode, weight, gate in study.ARMS:
+        cols = ["op", "doc", "id", "cat", "method", "score", "target"]
+        alone = s.scored(heading_mode=mode, weight=weight, clamp=clamp, gate=gate)
+        assert sorted(map(str, got.where(got.arm == name).select(cols).collect())) == sorted(map(str, alone.select(cols).collect()))
