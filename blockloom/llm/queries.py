@@ -238,25 +238,27 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1].where("short").select("mix_id", "source")
 
 
-def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _levels(spark: SparkSession, sf_dir: str, only_english: bool = False) -> DataFrame:
+    """(doc_id, level, status) of every document, or of the English ones; see ``reading.judged``."""
     documents = table(spark, sf_dir, "documents")
     model = reading.train(documents, table(spark, sf_dir, "reading_labels"))
-    return reading.levels(documents.where(reading.english(F.col("lang")) & F.col("text").isNotNull()), model)
+    return reading.judged(documents.where(reading.english(F.col("lang"))) if only_english else documents, model)
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reading level of every English document with prose."""
-    return _levels(spark, sf_dir).where("level is not null")
+    """Reading level of every document; null, with the reason as status, where the model cannot judge it."""
+    return _levels(spark, sf_dir)
 
 
 def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of English documents by school grade."""
-    return p9_levels(spark, sf_dir).groupBy(F.greatest(F.round("level").cast("int"), F.lit(0)).alias("grade")).agg(F.count("*").alias("n_documents"))
+    """Number of documents by status and school grade; the grade is null where there is no level."""
+    grade = F.when(F.col("level").isNotNull(), F.greatest(F.round("level").cast("int"), F.lit(0)))
+    return p9_levels(spark, sf_dir).groupBy("status", grade.alias("grade")).agg(F.count("*").alias("n_documents"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents whose prose reads at grade 13 or above."""
-    return _levels(spark, sf_dir).where("level >= 13").select("doc_id").distinct()
+    return _levels(spark, sf_dir, only_english=True).where("level >= 13").select("doc_id").distinct()
 
 
 QUERIES = {

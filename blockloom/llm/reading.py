@@ -191,3 +191,17 @@ def levels(documents: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.level(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "level"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, level double")
+
+
+def judged(documents: DataFrame, model: Model | None) -> DataFrame:
+    """``doc_id``, ``level`` and ``status`` of every row of ``documents`` (doc_id, lang, text).
+
+    The labels are of English texts, so a document in another or an unknown language is ``not calibrated``; one without
+    words of prose has ``no prose``; without labels there is ``no model``. These have a null level, all others are
+    ``levelled``. Only English texts go to the Python stage.
+    """
+    is_english = english(F.col("lang"))
+    other = documents.where(~is_english).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("double").alias("level"), F.lit("not calibrated").alias("status"))
+    known = levels(documents.where(is_english), model)
+    status = F.when(F.col("level").isNotNull(), "levelled").otherwise("no model" if model is None else "no prose")
+    return known.select(F.col("doc_id").cast("long").alias("doc_id"), "level", status.alias("status")).unionByName(other)

@@ -215,3 +215,13 @@ def test_queries_run(spark, name):
     rows = df.collect()
     if name.endswith("_found"):
         assert len(rows) == len(set(rows))
+
+
+def test_every_document_has_a_level_or_a_reason(spark, tmp_path):
+    docs = [(1, "en", "One plain sentence here."), (2, "de", "Ein Satz steht hier."), (3, None, "No language."), (4, "en-US", "# only\n"), (5, "EN", None), (6, "en", "Another plain sentence.")]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a", 3), (6, "a", 5)], "doc_id long, rater string, grade int").write.parquet(str(tmp_path / "reading_labels.parquet"))
+    got = {r.doc_id: r for r in queries.p9_levels(spark, str(tmp_path)).collect()}
+    assert {i: r.status for i, r in got.items()} == {1: "levelled", 2: "not calibrated", 3: "not calibrated", 4: "no prose", 5: "no prose", 6: "levelled"}
+    assert all((r.level is not None) == (r.status == "levelled") for r in got.values())
+    assert sum(r.n_documents for r in queries.p9_profile(spark, str(tmp_path)).collect()) == len(docs)
