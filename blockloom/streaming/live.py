@@ -1,6 +1,7 @@
 """Streams of document versions: changes against the stored version, and findings that are reported once.
 
-The last version of a document is the one with the highest version number, whatever order they arrive in.
+The last version of a document is the one with the highest version number, whatever order they arrive in, in one batch
+or in several. Of one version the first batch that has it stands.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import cache, diff, segment
@@ -18,6 +20,7 @@ from ..operators.incremental import Target, latest
 from ..functions.text import body_hash
 
 KEYS = ["source"]
+VERSIONS = T.StructType([T.StructField("source", T.StringType()), T.StructField("version", T.LongType())])
 
 
 def chunk_index(versions: DataFrame) -> DataFrame:
@@ -27,20 +30,36 @@ def chunk_index(versions: DataFrame) -> DataFrame:
     return index.select("source", "id", body_hash(F.col("content")).alias("body_hash"))
 
 
+def unseen(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of a batch whose version is above the stored one of their source. A null version is lower than any other."""
+    known = stored.groupBy("source").agg(F.max("version").alias("__stored")).withColumn("__known", F.lit(True))
+    newer = F.col("__known").isNull() | (F.col("version") > F.col("__stored")) | (F.col("__stored").isNull() & F.col("version").isNotNull())
+    return batch.join(known, "source", "left").where(newer).drop("__stored", "__known")
+
+
 def upsert(target: Target):
     """A ``foreachBatch`` function: publishes what changed in a batch as one part of the target, once per batch id.
 
-    The target's schema is source, id, version (long), body (string, null for an evicted chunk) and action.
+    The target's schema is source, id, version (long, the batch id), body (string, null for an evicted chunk) and action.
+    The log entry also names a part with the version of every document of the batch, with ids or without, so that
+    both become visible at once; a later batch drops rows that are not above it.
     """
+    seen = Target(target.spark, target.path, VERSIONS)
+
+    def stored() -> DataFrame:
+        parts = [f"{target.path}/data/{e['versions']}" for e in target.entries() if "versions" in e]
+        return target.spark.read.schema(VERSIONS).parquet(*parts) if parts else target.spark.createDataFrame([], VERSIONS)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if any(e["batch"] == batch_id for e in target.entries()):
             return
         old = latest(target.read(), ["source", "id"]).where("t_body is not null").select("source", "id", F.col("t_body").alias("body_hash"))
+        batch = unseen(batch, stored())
         touched = batch.select("source").distinct()
         decided = cache.decide(old.join(touched, "source", "left_semi"), new := chunk_index(batch), KEYS).where("action != 'reuse'")
         rows = decided.join(new, ["source", "id"], "left").select("source", "id", F.lit(batch_id).cast("long").alias("version"), F.col("body_hash").alias("body"), "action")
-        target.publish(target.write_part(rows), len(target.entries()), batch=batch_id)
+        versions = seen.write_part(batch.groupBy("source").agg(F.max("version").alias("version")))
+        target.publish(target.write_part(rows), len(target.entries()), batch=batch_id, versions=versions)
 
     return run
 

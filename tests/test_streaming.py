@@ -28,3 +28,13 @@ def test_repeated_findings_are_reported_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.findings for r in spark.table("reports").collect()) == ["f1", "f2"]
+
+
+def test_late_older_version_changes_nothing(spark):
+    target = Target(spark, scratch(spark, "live"), T.StructType.fromDDL("source string, id string, version long, body string, action string"))
+    run, cols = upsert(target), "source string, version long, text string"
+    run(spark.createDataFrame([("a", 2, "A2\n<!-- stay:x -->\n\nB\n<!-- stay:y -->\n"), ("b", 5, "no ids\n")], cols), 0)
+    run(spark.createDataFrame([("a", 1, "old\n<!-- stay:x -->\n"), ("b", 4, "late\n<!-- stay:z -->\n")], cols), 1)
+    assert sorted((r.id, r.version, r.action) for r in target.read().collect()) == [("x", 0, "reembed"), ("y", 0, "reembed")]
+    run(spark.createDataFrame([("a", 3, "A3\n<!-- stay:x -->\n")], cols), 2)
+    assert sorted((r.id, r.action) for r in target.read().where("version = 2").collect()) == [("x", "reembed"), ("y", "evict")]
