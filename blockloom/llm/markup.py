@@ -71,6 +71,7 @@ DELIMITER = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|
 PIPES = re.compile(r"^[ \t]*\|(?:[^|\n]*\|)+[ \t]*$")
 DEFINITION = re.compile(r"^ {0,3}\[(\^?[^\]\n]+)\]:[ \t]+\S.*$")
 LINK = re.compile(r"(!?)\[((?:[^\[\]\n]|\n(?!\s*\n))*)\](?:\(([^()\s]*(?:\([^()\s]*\)[^()\s]*)?(?:\s+\"[^\"]*\"|\s+'[^']*')?)\)|\[([^\[\]\n]*)\])")
+NOTE_LABEL = re.compile(r" {0,3}\[\^[^\]\n]+\]:[ \t]+")
 FOOTNOTE = re.compile(r"\[\^[^\]\s]+\]")
 AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^<>\s]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+)>")
 STARS = re.compile(r"(?<![\\\w*])(\*{1,3})(?![\s*])([^*\n]+(?:\n[^*\n]+)*?)(?<![\s\\])\1(?![\w*])")
@@ -476,8 +477,11 @@ def clean(text: str | None) -> list[Piece]:
         i = bisect_right(taken, (s.start, len(t) + 1)) - 1
         return not (i >= 0 and taken[i][0] <= s.start < taken[i][1])
 
+    # of a footnote's definition only the label goes; the reference that is seen in it goes with it
+    notes = {s.start: m.end() for s in spans if s.kind == "definition" and (m := NOTE_LABEL.match(t, s.start, s.end))}
+    in_label = {t.index("[", a) for a in notes}
     for s in spans:
-        if s.kind in ("fence", "inline", "formula") or not free(s):
+        if s.kind in ("fence", "inline", "formula") or not free(s) or s.kind == "footnote" and s.start in in_label:
             continue
         piece = t[s.start : s.end]
         if s.family == "html" and s.kind == "tag" and (m := re.match(r"<h([1-6])\b", piece, re.I)):
@@ -511,6 +515,8 @@ def clean(text: str | None) -> list[Piece]:
             edits.append((s.start, s.start + m.start(1), "\n\ue006"))
         elif s.kind == "table":
             edits += [(s.start, s.end, "")] if DELIMITER.match(piece) else [(s.start, s.start, "\n\ue005")] + [(s.start + i, s.start + i + 1, " ") for i, x in enumerate(piece) if x == "|"]
+        elif s.kind == "definition" and s.start in notes:
+            edits.append((s.start, notes[s.start], "\n"))
         elif s.kind in ("rule", "definition"):
             edits.append((s.start, s.end, ""))
         elif s.kind == "emphasis":

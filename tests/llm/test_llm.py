@@ -225,3 +225,9 @@ def test_every_document_has_a_level_or_a_reason(spark, tmp_path):
     assert {i: r.status for i, r in got.items()} == {1: "levelled", 2: "not calibrated", 3: "not calibrated", 4: "no prose", 5: "no prose", 6: "levelled"}
     assert all((r.level is not None) == (r.status == "levelled") for r in got.values())
     assert sum(r.n_documents for r in queries.p9_profile(spark, str(tmp_path)).collect()) == len(docs)
+
+
+def test_text_of_footnotes_stays():
+    t = "Text[^1] goes on.[^long]\n\n[^1]: The text of the *note*.\n[^long]: A second note\nof two lines.\n  [^3]: Indented.\n[ref]: http://example.org/x\n"
+    assert [p.text for p in markup.clean(t)] == ["Text goes on.", "The text of the note.", "A second note of two lines.", "Indented."]
+    assert markup.families(t) == ["markdown"]
