@@ -1,4 +1,4 @@
-"""The resolver under edits: cells by document and edit, arms of heading preference, margins, the shape of a corpus."""
+"""The resolver under edits: cells by document and edit, arms of heading preference, margins."""
 
 from __future__ import annotations
 
