@@ -233,10 +233,8 @@ QUERIES = {
         reembed_parity, duplicate_records, commit_pairings, commit_reports, commit_notes, commit_gate, survival_cells, survival_report, survival_pivot, study_cells, study_verdicts, eligible_docs,
     )
 }
-#: Not over whole tables: it compares all blocks of a document with each other; tested on a fixture.
-SLOW = {"cross_section_move_edit"}
-QUERIES |= {f"perturb_{op}": _edit(op) for op in perturb.OPERATORS | perturb.SECTION_OPERATORS if op not in SLOW}
-QUERIES |= {f"truth_{op}": _truth(op) for op in ("split", "merge", "delete")}
+QUERIES |= {f"perturb_{op}": _edit(op) for op in STUDY}
+QUERIES |= {f"truth_{op}": _truth(op) for op in STUDY}
 
 _KIND = r"(not starts_with(content, '#') and not starts_with(content, '```') and not starts_with(content, '|') and not regexp_matches(content, '^(- |\* |\d+[.)])'))"
 _PB = _PLAIN + f""",

@@ -67,3 +67,13 @@ def test_settings_in_one_pass_give_what_each_gives_alone(spark):
         cols = ["op", "doc", "id", "cat", "method", "score", "target"]
         alone = s.scored(heading_mode=mode, weight=weight, clamp=clamp, gate=gate)
         assert sorted(map(str, got.where(got.arm == name).select(cols).collect())) == sorted(map(str, alone.select(cols).collect()))
+
+
+def test_every_edit_and_its_truth_has_a_query(spark, tmp_path):
+    from blockloom.plans import identity
+
+    assert all({f"perturb_{op}", f"truth_{op}"} <= set(identity.QUERIES) for op in perturb.OPERATORS | perturb.SECTION_OPERATORS)
+    spark.createDataFrame([(1, TEXT)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert identity.QUERIES["perturb_cross_section_move_edit"](spark, str(tmp_path)).count() == 8
+    truth = identity.QUERIES["truth_heading_delete"](spark, str(tmp_path)).collect()
+    assert len(truth) == 8 and sum(r.accept is None for r in truth) == 1
