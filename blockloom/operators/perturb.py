@@ -8,11 +8,11 @@ A document is a row with ``pb``, its blocks as array of (text, ids). An edit giv
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..functions.similarity import bound, ratio
 from ..functions.text import block_id, body_hash, heading_level, kind
@@ -159,8 +159,19 @@ def clone(pb: Column) -> tuple[Column, Column]:
     return _replace(pb, at, b, block(b["text"])), _no_truth()
 
 
-def _headings(pb: Column) -> Column:
-    return _positions(pb, lambda b, i: heading_level(b["text"]) > 0)
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once. A lambda evaluates what it closes over for each element, unless that is
+    itself the variable of a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _levels(pb: Column) -> Column:
+    return F.transform(pb, lambda b: heading_level(b["text"]))
+
+
+def _headings(levels: Column) -> Column:
+    """0-based positions of the headings."""
+    return F.filter(F.transform(levels, lambda v, i: F.when(v > 0, i).otherwise(-1)), lambda i: i >= 0)
 
 
 def _moved(pb: Column, src: Column, b: Column) -> Column:
@@ -170,66 +181,89 @@ def _moved(pb: Column, src: Column, b: Column) -> Column:
     return F.when(src.isNull(), pb).otherwise(F.concat(_part(rest, 1, n - 1), F.array(b), _part(rest, F.greatest(n, F.lit(1)), 1)))
 
 
+def _later_blocks(pb: Column, levels: Column) -> Column:
+    """0-based positions of blocks with ids, other than headings, that stand after the second heading."""
+    first = _first(_headings(levels), 1)
+    return _let(first, lambda second: _positions(pb, lambda b, i: (i > second) & (F.get(levels, i) == 0) & (F.size(b["ids"]) > 0)))
+
+
 def cross_section_move(pb: Column) -> tuple[Column, Column]:
-    second = _first(_headings(pb), 1)
-    src = _first(_positions(pb, lambda b, i: (i > second) & (heading_level(b["text"]) == 0) & (F.size(b["ids"]) > 0)))
-    return _moved(pb, src, F.get(pb, src)), _no_truth()
+    at = _let(_levels(pb), lambda levels: _first(_later_blocks(pb, levels)))
+    return _let(at, lambda src: _moved(pb, src, F.get(pb, src))), _no_truth()
 
 
 def section_move(pb: Column) -> tuple[Column, Column]:
-    heads = _headings(pb)
-    start = F.when(F.size(heads) >= 3, _first(heads, 1))
-    level = heading_level(F.get(pb, start)["text"])
-    end = F.coalesce(_first(_positions(pb, lambda b, i: (i > start) & heading_level(b["text"]).between(1, level))), F.size(pb))
-    moved = F.concat(_part(pb, 1, start), _part(pb, end + 1, F.size(pb)), _part(pb, start + 1, end - start))
-    return F.when(start.isNull(), pb).otherwise(moved), _no_truth()
+    def cut(levels: Column, heads: Column) -> Column:
+        """Start and end of the section of the second of three or more headings."""
+        start = F.when(F.size(heads) >= 3, F.get(heads, 1))
+        after = F.filter(heads, lambda h: (h > start) & (F.get(levels, h) <= F.get(levels, start)))
+        return F.struct(start.alias("start"), F.coalesce(F.get(after, 0), F.size(pb)).alias("end"))
 
+    def moved(at: Column) -> Column:
+        start, end = at["start"], at["end"]
+        return F.when(start.isNull(), pb).otherwise(F.concat(_part(pb, 1, start), _part(pb, end + 1, F.size(pb)), _part(pb, start + 1, end - start)))
 
-def heading_rename(pb: Column) -> tuple[Column, Column]:
-    heads = _headings(pb)
-    odd = F.filter(F.transform(heads, lambda h, k: F.when(k % 2 == 1, h).otherwise(-1)), lambda h: h >= 0)
+    return _let(_let(_levels(pb), lambda levels: _let(_headings(levels), lambda heads: cut(levels, heads))), moved), _no_truth()
 
+
+def heading_rename(pb: Column) -> tuple[Column, Column]:
     def renamed(t: Column) -> Column:
         atx = F.regexp_extract(t, r"(?d)\A {0,3}(#{1,6})\s", 1)
         title = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_extract(t, r"(?d)\A {0,3}#{1,6}\s+([^\n]*)", 1), r"#+\s*\z", "")), r"\s+\z", "")
         first, second = F.regexp_extract(t, r"\A([^\n]*)", 1), F.regexp_extract(t, r"\A[^\n]*\n([^\n]*)", 1)
         return F.when(atx != "", F.concat(atx, F.lit(" "), paraphrase(title))).otherwise(F.concat(paraphrase(first), F.lit("\n"), second))
 
-    return F.transform(pb, lambda b, i: F.when(F.array_contains(odd, i), block(renamed(b["text"]), b["ids"])).otherwise(b)), _no_truth()
+    def every_second(heads: Column) -> Column:
+        odd = F.filter(F.transform(heads, lambda h, k: F.when(k % 2 == 1, h).otherwise(-1)), lambda h: h >= 0)
+        return _let(odd, lambda at: F.transform(pb, lambda b, i: F.when(F.array_contains(at, i), block(renamed(b["text"]), b["ids"])).otherwise(b)))
 
+    return _let(_headings(_levels(pb)), every_second), _no_truth()
 
-def heading_delete(pb: Column) -> tuple[Column, Column]:
-    at = _first(_headings(pb), 1)
-    return _replace(pb, at), _detach(F.get(pb, at))
 
+def heading_delete(pb: Column) -> tuple[Column, Column]:
+    def second() -> Column:
+        return _first(_headings(_levels(pb)), 1)
 
-@F.pandas_udf(IntegerType())
-def _least_rivalled(texts: pd.Series, candidates: pd.Series) -> pd.Series:
-    """The candidate whose greatest similarity to any other block is least; the first of equals, null without any."""
+    return _let(second(), lambda at: _replace(pb, at)), _let(second(), lambda at: _detach(F.get(pb, at)))
 
-    def one(ts, cs) -> int | None:
-        forms = [" ".join(t.strip().lower().split()) for t in ts]
-        letters = [Counter(f) for f in forms]
-        least, found = 2.0, None
-        for i in cs:
-            limits = sorted(((bound(letters[i], len(forms[i]), letters[j], len(f)), j) for j, f in enumerate(forms) if j != i and f), reverse=True) if forms[i] else []
-            most = 0.0
-            for limit, j in limits:  # ends when no other can be nearer, or when this one cannot be the least
-                if limit <= most or most >= least:
-                    break
-                most = max(most, ratio(forms[i], forms[j]))
-            if most < least:
-                least, found = most, i
-        return found
 
-    return pd.Series([one(t, c) for t, c in zip(texts, candidates)], dtype="Int32")
+def _least_rivalled(texts: list[str], candidates: list[int]) -> int | None:
+    """The candidate whose greatest similarity to any other block is least; the first of equals, null without any."""
+    forms = [" ".join(t.strip().lower().split()) for t in texts]
+    letters = [Counter(f) for f in forms]
+    least, found = 2.0, None
+    for i in candidates:
+        limits = sorted(((bound(letters[i], len(forms[i]), letters[j], len(f)), j) for j, f in enumerate(forms) if j != i and f), reverse=True) if forms[i] else []
+        most = 0.0
+        for limit, j in limits:  # ends when no other can be nearer, or when this one cannot be the least
+            if limit <= most or most >= least:
+                break
+            most = max(most, ratio(forms[i], forms[j]))
+        if most < least:
+            least, found = most, i
+    return found
+
+
+def with_chosen_block(annotated: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``__src``, the block that ``cross_section_move_edit`` takes, in an Arrow stage over whole documents."""
+    candidates = F.coalesce(_let(_levels(F.col("pb")), lambda levels: _later_blocks(F.col("pb"), levels)), F.array().cast("array<int>"))
+    rows = annotated.withColumns({"__texts": F.transform("pb", lambda b: b["text"]), "__candidates": candidates})
+    kept = annotated.schema.fields
+    # scores cost far more than moving texts, so the tasks are as many as the session shuffles to, whatever the size
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = len(kept)
+            src = [_least_rivalled(t or [], c) for t, c in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(src, pa.int32())], names=[*(f.name for f in kept), "__src"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", __src int")
 
 
 def cross_section_move_edit(pb: Column) -> tuple[Column, Column]:
     """The block under a later heading that is least like any other, moved to the end and drifted."""
-    second = _first(_headings(pb), 1)
-    candidates = F.coalesce(_positions(pb, lambda b, i: (i > second) & (heading_level(b["text"]) == 0) & (F.size(b["ids"]) > 0)), F.array().cast("array<int>"))
-    src = _least_rivalled(F.transform(pb, lambda b: b["text"]), candidates)
+    src = F.col("__src")
     b = F.get(pb, src)
     return _moved(pb, src, block(drift(b["text"]), b["ids"])), _no_truth()
 
@@ -241,7 +275,10 @@ SECTION_OPERATORS = {f.__name__: f for f in (cross_section_move, cross_section_m
 def apply(annotated: DataFrame, keys: list[str], op: str) -> DataFrame:
     """(keys, op, pb, truth) after the edit. Documents that the edit does not apply to stay as they are."""
     pb, truth = (OPERATORS | SECTION_OPERATORS)[op](F.col("pb"))
-    return annotated.select(*keys, F.lit(op).alias("op"), pb.alias("pb"), truth.alias("truth"))
+    if op == "cross_section_move_edit":
+        annotated = with_chosen_block(annotated, keys)
+    # another name first: inside a lambda, ``pb`` would be the alias of the same projection and not the column below it
+    return annotated.select(*keys, F.lit(op).alias("op"), pb.alias("__edited"), truth.alias("truth")).withColumnRenamed("__edited", "pb")
 
 
 def truth_rows(applied: DataFrame, keys: list[str]) -> DataFrame:
