@@ -1,21 +1,24 @@
 """Near-duplicate texts: an exact join under the Jaccard distance of bags of words.
 
-The plan is that of a metric-space join: pivots cut the space into regions, a window replicates to a region every
-document that may have a partner there, regions that are too large are cut again by further pivots, and what remains
-is joined exactly. The pivots are the single words. A document lies nearest to its own words, at distance 1 - 1/n, and
-the tie is broken by rarity. Documents as pivots cannot do this: with words of a common language nearly all distances
-between documents are between 0.8 and 1, so that a window of twice the wanted distance (0.6) holds every document in
-every region (figures in the README). Between a document and the pivots of its words the bound is sharp: partners of
-similarity t share a word among the first n - ceil(t n) + 1 in the common order, and the shorter of them has it among
-its first n - ceil(2t/(1+t) n) + 1.
+This is a prefix join, not the join with pivots in a metric space that was asked for: documents as pivots cannot cut
+these collections, because nearly all distances between texts of one language are between 0.8 and 1, so that a window
+of twice the wanted distance (0.6) holds every document in every region (figures in the README). What it shares with
+that plan are regions, replication of documents to every region where a partner may be, recursive cutting of large
+regions, and an exact join inside each.
+
+A text is an array of tokens, the hash of a word together with how often it came before in the text, in a common order
+(rarest first). Partners of similarity t share a token among the first n - ceil(t n) + 1 in that order, and the shorter
+of them has it among its first n - ceil(2t/(1+t) n) + 1. So a region is named by a token, and a document goes to the
+regions of its first tokens.
 
 The steps are
-1. copies: texts of the same words in the same order become one class;
-2. counts of words in a table of fixed size, which give the common order (rarest first);
-3. rows (region, document, size, position, parity sketch), with regions of frequent words cut again by a second, third
-   and fourth word, and what is still large dealt out in blocks;
+1. copies: equal texts become one class, and the text of a class is turned into tokens once;
+2. counts of tokens in a table of fixed size, which give the common order;
+3. rows (region, document, size, position, parity sketch). A region of a frequent token is cut by a second, third and
+   fourth one; what is still large is cut into blocks, and each pair of blocks is a region of its own, so that no region
+   is expected to hold more than twice REGION rows;
 4. the join of each region: windows of size and position, then the parity sketch, a lower bound of the difference;
-5. the exact check of what is left, on the texts.
+5. the exact check of what is left, on the tokens.
 No step drops a pair of the wanted similarity.
 """
 
@@ -28,7 +31,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -39,9 +41,12 @@ from ..session import stored
 WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18  # size of the table of counts, whatever the data
 REGION = 20_000  # a region expected to hold more documents is cut again
-DEPTH = 4  # most words that name a region
+DEPTH = 4  # most tokens that name a region
+ROWS = 400_000  # rows of regions that one task holds
 PAIRS = 1 << 20  # pairs looked at closely in one step
-SMALL, BLOCK, WIDE = 24, 64, 8192  # rows of a small region; rectangles of a large one
+SMALL, BLOCK, WIDE = 24, 64, 2048  # rows of a small region; rectangles of a large one
+LONG, MOST = 80, 64  # tokens of a document that needs a wider sketch; most words of 64 bits of one
+BYTES = 5  # of a token
 _U = np.uint64
 
 
@@ -62,38 +67,78 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-class Encoder:
-    """Texts as arrays of tokens: the hash of a word together with how often it came before in the text."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __call__(self, texts: list[str | None], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of the texts with enough words, their sizes, and all their tokens one after another."""
-        known, flat, sizes, kept = self.known, [], [], []
-        for i, t in enumerate(texts):
-            ws = words(t) if t else ()
-            if len(ws) < least:
-                continue
-            for w in ws:
-                h = known.get(w)
-                if h is None:
-                    if len(known) > 500_000:  # a cache only
-                        known.clear()
-                    h = known[w] = xxhash.xxh3_64_intdigest(w)
-                flat.append(h)
-            sizes.append(len(ws))
-            kept.append(i)
-        size = np.array(sizes, dtype=np.int64)
-        h = np.array(flat, dtype=np.uint64)
-        doc = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((h, doc))
-        h = h[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        run = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        nth = (np.arange(len(h)) - run).astype(np.uint64)
-        return np.array(kept, dtype=np.int64), size, _mix(h + nth * _U(0x9E3779B97F4A7C15))
+class _Hashes(dict):
+    """48-bit hashes of words; a cache only."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFFFFFF
+        return h
+
+
+def _tokens(texts: list[str | None], least: int, known: _Hashes) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Numbers of words of fewer than 2^16 texts, how many tokens each has (none below ``least`` words), the tokens."""
+    flat: list[int] = []
+    n_words = []
+    for t in texts:
+        ws = words(t) if t else ()
+        n_words.append(len(ws))
+        if len(ws) >= least:
+            flat.extend(map(known.__getitem__, ws))
+    n = np.array(n_words, dtype=np.int64)
+    size = np.where(n >= least, n, 0)
+    own = np.repeat(np.arange(len(n), dtype=np.uint64), size) << _U(48)
+    both = np.sort(own | np.array(flat, dtype=np.uint64))  # equal words of a text stand together
+    new = np.ones(len(both), dtype=bool)
+    new[1:] = both[1:] != both[:-1]
+    at = np.arange(len(both))
+    nth = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+    return n_words, size, _mix((both & _U(0xFFFFFFFFFFFF)) + nth * _U(0x9E3779B97F4A7C15)) >> _U(64 - 8 * BYTES)
+
+
+def _as_binary(size: np.ndarray, data: np.ndarray, width: int) -> pa.Array:
+    """One value per row, of ``size`` items of ``width`` bytes; ``data`` has the items as rows of bytes."""
+    offsets = np.concatenate([[0], np.cumsum(size * width)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _from_binary(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens per row, and the tokens."""
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].reshape(-1, BYTES) if data is not None and at[-1] > at[0] else np.zeros((0, BYTES), np.uint8)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, :BYTES] = raw
+    return np.diff(at) // BYTES, wide.view(np.uint64).ravel()
+
+
+HEADS = "item_table string, h0 long, h1 int, id long, n_words int, tokens binary"
+
+
+def _encode(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 20_000):
+                b = whole.slice(at, 20_000)
+                n, size, tokens = _tokens(b.column(4).to_pylist(), least, known)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int32()), _as_binary(size, tokens.view(np.uint8).reshape(-1, 8)[:, :BYTES], BYTES)], names=[x.split()[0] for x in HEADS.split(", ")])
+
+    return run
+
+
+def classes(items: DataFrame, least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal texts with their tokens, and members.
+
+    ``items`` has ``item_table``, ``id`` and ``text``. A class has its least id as name. Its text is carried once per
+    task, so that a text that a third of all rows hold does not gather anywhere, and is turned into tokens once, if it
+    has at least ``least`` words. Null texts belong to no class.
+    """
+    named = items.where("text is not null").select("item_table", F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("h0"), F.hash("text").alias("h1"))
+    heads = named.groupBy("item_table", "h0", "h1").agg(F.min("id").alias("id"), F.min("text").alias("text")).mapInArrow(_encode(least), HEADS)
+    members = named.groupBy("item_table", "h0", "h1", "id").agg(F.lit(1).alias("one")).select("item_table", "h0", "h1", "id")
+    return heads, members
 
 
 def _lengths(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -102,27 +147,25 @@ def _lengths(n: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
     return n + (-p * n) // q + 1, n + (-2 * p * n) // (p + q) + 1
 
 
-def _sketches(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[bytes | None]]:
-    """Parities of the tokens in 128 bits, and in more bits for documents of more than 80 tokens.
+def _sketches(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Parities of the tokens in 128 bits, and in more bits for long documents.
 
     Two documents differ in at least as many tokens as their sketches differ in bits. A wider sketch folds to a
     narrower one by XOR of its halves.
     """
     starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-    bit = tokens >> _U(40)
-    one = _U(1) << (bit & _U(63))
-    low = np.where((bit >> _U(6)) & _U(1) == 0, one, _U(0))
-    high = np.where((bit >> _U(6)) & _U(1) == 1, one, _U(0))
+    place = tokens >> _U(28)
+    one = _U(1) << (place & _U(63))
+    odd = (place >> _U(6)) & _U(1) == 1
     if not len(size):
-        return np.zeros((0, 2), dtype=np.uint64), []
-    sk = np.stack([np.bitwise_xor.reduceat(low, starts), np.bitwise_xor.reduceat(high, starts)], axis=1)
-    more: list[bytes | None] = [None] * len(size)
-    for i in np.nonzero(size > 80)[0]:
-        n_words = 2 << min(math.ceil(math.log2(size[i] / 80)), 12)
+        return np.zeros((0, 2), dtype=np.uint64), {}
+    sk = np.stack([np.bitwise_xor.reduceat(np.where(odd, _U(0), one), starts), np.bitwise_xor.reduceat(np.where(odd, one, _U(0)), starts)], axis=1)
+    more = {}
+    for i in np.nonzero(size > LONG)[0]:
+        wide = np.zeros(min(2 << math.ceil(math.log2(size[i] / LONG)), MOST), dtype=np.uint64)
         own = slice(starts[i], starts[i] + size[i])
-        wide = np.zeros(n_words, dtype=np.uint64)
-        np.bitwise_xor.at(wide, (bit[own] >> _U(6)) & _U(n_words - 1), one[own])
-        more[i] = wide.tobytes()
+        np.bitwise_xor.at(wide, (place[own] >> _U(6)) & _U(len(wide) - 1), one[own])
+        more[int(i)] = wide
     return sk, more
 
 
@@ -133,92 +176,98 @@ def _fold(wide: np.ndarray, n_words: int) -> np.ndarray:
     return wide
 
 
-def _count_words(kinds: list[str], least: int):
+def _count_tokens(kinds: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, counts, docs = Encoder(), np.zeros((len(kinds), BUCKETS), dtype=np.int64), np.zeros(len(kinds), dtype=np.int64)
+        counts, docs = np.zeros((len(kinds), BUCKETS), dtype=np.int64), np.zeros(len(kinds), dtype=np.int64)
         for b in batches:
             kind = np.array([kinds.index(x) for x in b.column(0).to_pylist()], dtype=np.int64)
-            kept, size, tokens = encode(b.column(2).to_pylist(), least)
-            own = np.repeat(kind[kept], size)
-            np.add.at(counts, (own, (tokens & _U(BUCKETS - 1)).astype(np.int64)), 1)
-            docs += np.bincount(kind[kept], minlength=len(kinds))
+            size, tokens = _from_binary(b.column(1))
+            at = np.repeat(kind, size) * BUCKETS + (tokens & _U(BUCKETS - 1)).astype(np.int64)
+            counts += np.bincount(at, minlength=counts.size).reshape(counts.shape)
+            docs += np.bincount(kind[size > 0], minlength=len(kinds))
         k, i = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k, np.arange(len(kinds))]), pa.int32()), pa.array(np.concatenate([i, np.full(len(kinds), -1)]), pa.int32()), pa.array(np.concatenate([counts[k, i], docs]), pa.int64())], names=["kind", "bucket", "n"])
 
     return run
 
 
-def _regions_of(token: np.ndarray, count: np.ndarray, px: int, py: int, docs: int, region: int) -> list[tuple[int, int, bool, float]]:
-    """Regions of one document that has frequent words: name, position, whether it is an index row, expected size."""
-    found: list[tuple[int, int, bool, float]] = []
-
-    def deeper(name: np.uint64, first: int, last: int, depth: int, expected: float) -> None:
-        if expected <= region or depth == DEPTH:
-            found.append((int(name), last - depth + 1, first < py and last < py + depth - 1, expected))
-            return
-        for j in range(last + 1, min(px + depth, len(token))):
-            deeper(_mix(name * _U(3) + token[j]), first, j, depth + 1, expected * float(count[j]) / docs)
-
-    with np.errstate(over="ignore"):
-        for i in range(px):
-            deeper(token[i], i, i, 1, float(count[i]))
-    return found
-
+ROW = "key long, id long, facts long, s0 long, s1 long, more binary"
 
-ROW = "key long, kind int, id long, n int, pos int, role int, s0 long, s1 long, more binary"
 
+def _rows(kind: np.ndarray, ids: np.ndarray, size: np.ndarray, tokens: np.ndarray, counts: np.ndarray, docs: np.ndarray, t: Fraction, region: int) -> tuple[np.ndarray, ...]:
+    """Rows of regions of documents that have tokens: document, name of the region, position, role, side.
 
-def _emit(kinds: list[str], t: Fraction, least: int, table, region: int):
+    Role 1 may meet a shorter partner, 2 a partner no shorter, 3 both. Sides 1 and 2 are the two blocks of a region made
+    of a pair of blocks, whose rows meet those of the other side only.
+    """
+    doc = np.repeat(np.arange(len(size)), size)
+    count = counts[kind[doc], (tokens & _U(BUCKETS - 1)).astype(np.int64)]
+    octave = np.minimum(np.floor(4 * np.log2(np.maximum(count, 1))), 127).astype(np.uint64)
+    order = np.argsort((doc.astype(np.uint64) << _U(47)) | (octave << _U(40)) | tokens)
+    tokens, count = tokens[order], count[order].astype(np.float64)
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+    pos = np.arange(len(tokens)) - starts[doc]
+    px, py = _lengths(size, t)
+    n_docs = np.maximum(docs[kind], 1).astype(np.float64)
+    use = (pos < px[doc]) & (count > 1)  # a count of 1 is shared by nobody
+    d, first, last = doc[use], pos[use], pos[use]
+    name, expected = _mix(tokens[use] * _U(64) + kind[d].astype(np.uint64)), count[use]
+    found: list[tuple[np.ndarray, ...]] = []
+    for depth in range(1, DEPTH + 1):
+        done = (expected <= region) | (depth == DEPTH)
+        role = np.where((first < py[d]) & (last < py[d] + depth - 1), 3, 1)
+        plain = done & (expected <= region)
+        found.append((d[plain], name[plain], (last - depth + 1)[plain], role[plain], np.zeros(plain.sum(), np.int64)))
+        large = np.nonzero(done & ~plain)[0]
+        if len(large):
+            blocks = np.ceil(expected[large] / region).astype(np.int64)
+            mine = (_mix(ids[d[large]].astype(np.uint64) + _U(0x9E3779B97F4A7C15)) % blocks.astype(np.uint64)).astype(np.int64)
+            r = np.repeat(np.arange(len(large)), blocks)
+            other = np.arange(len(r)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            low, high = np.minimum(mine[r], other), np.maximum(mine[r], other)
+            x = large[r]
+            side = np.where(low == high, 0, np.where(mine[r] == low, 1, 2))
+            found.append((d[x], _mix(name[x] + ((low * blocks[r] + high + 1).astype(np.uint64) * _U(0x9E3779B97F4A7C15))), (last - depth + 1)[x], role[x], side))
+        rest = np.nonzero(~done)[0]
+        if not len(rest):
+            break
+        n_next = np.maximum(np.minimum(px[d[rest]] + depth, size[d[rest]]) - last[rest] - 1, 0)
+        r = np.repeat(rest, n_next)
+        j = last[r] + 1 + np.arange(len(r)) - np.repeat(np.cumsum(n_next) - n_next, n_next)
+        at = starts[d[r]] + j
+        name, expected = _mix(name[r] * _U(3) + tokens[at]), expected[r] * count[at] / n_docs[d[r]]
+        d, first, last = d[r], first[r], j
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _emit(kinds: list[str], t: Fraction, table, region: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs = table.value
-        encode = Encoder()
-        for b in batches:
-            kind = np.array([kinds.index(x) for x in b.column(0).to_pylist()], dtype=np.int64)
-            ids = b.column(1).to_numpy(zero_copy_only=False)
-            kept, size, tokens = encode(b.column(2).to_pylist(), least)
-            if not len(kept):
-                continue
-            kind, ids = kind[kept], ids[kept]
-            doc = np.repeat(np.arange(len(kept)), size)
-            count = counts[kind[doc], (tokens & _U(BUCKETS - 1)).astype(np.int64)]
-            sk, more = _sketches(tokens, size)
-            order = np.lexsort((tokens, count, doc))
-            tokens, count = tokens[order], count[order]
-            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            pos = np.arange(len(tokens)) - np.repeat(starts, size)
-            px, py = _lengths(size, t)
-            early = pos < px[doc]
-            large = np.zeros(len(kept), dtype=bool)
-            large[doc[early & (count > region)]] = True
-            use = early & (count > 1) & ~large[doc]  # a count of 1 is shared by nobody
-            cols = [[tokens[use]], [doc[use]], [pos[use]], [np.where(pos[use] < py[doc[use]], 3, 1)]]
-            for d in np.nonzero(large)[0]:
-                own = slice(starts[d], starts[d] + size[d])
-                rows = []
-                for name, p, index, expected in _regions_of(tokens[own], count[own], int(px[d]), int(py[d]), max(int(docs[kind[d]]), 1), region):
-                    blocks = math.ceil(expected / region) if expected > region else 1
-                    if blocks == 1:
-                        rows.append((name, p, 3 if index else 1))
-                        continue
-                    mine = xxhash.xxh3_64_intdigest(int(ids[d]).to_bytes(8, "little", signed=True)) % blocks
-                    for k in range(blocks) if index else (mine,):  # index rows meet every block
-                        salted = (name + (k + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
-                        rows.append((salted, p, (2 if index else 0) | (1 if k == mine else 0)))
-                if rows:
-                    name, p, role = zip(*rows)
-                    for c, x in zip(cols, (np.array(name, dtype=np.uint64), np.full(len(rows), d), np.array(p), np.array(role))):
-                        c.append(x)
-            key, d, p, role = (np.concatenate(c) for c in cols)
-            key = _mix(key + kind[d].astype(np.uint64)).view(np.int64)
-            for a in range(0, len(key), 200_000):
-                z = slice(a, a + 200_000)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key[z]), pa.array(kind[d[z]], pa.int32()), pa.array(ids[d[z]], pa.int64()), pa.array(size[d[z]], pa.int32()), pa.array(p[z], pa.int32()), pa.array(role[z], pa.int32()),
-                        pa.array(sk[d[z], 0].view(np.int64)), pa.array(sk[d[z], 1].view(np.int64)), pa.array([more[i] for i in d[z]], pa.binary()),
-                    ],
-                    names=[x.split()[0] for x in ROW.split(", ")],
-                )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):  # few, as a document may go to many regions
+                yield from part(whole.slice(at, 1024), counts, docs)
+
+    def part(b: pa.RecordBatch, counts: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size, tokens = _from_binary(b.column(2))
+        kept = np.nonzero(size)[0]
+        if not len(kept):
+            return
+        kind = np.array([kinds.index(x) for x in b.column(0).to_pylist()], dtype=np.int64)[kept]
+        ids, size = b.column(1).to_numpy()[kept], size[kept]
+        sk, more = _sketches(tokens, size)
+        d, name, pos, role, side = _rows(kind, ids, size, tokens, counts, docs, t, region)
+        key = (name & ~_U(0xFFFF)) | np.minimum(size, 0xFFFF).astype(np.uint64)[d]
+        facts = (size[d] << 36) | (pos << 10) | (side << 8) | (role << 6) | kind[d]
+        is_long = size > LONG
+        for z in (np.nonzero(~is_long[d])[0], np.nonzero(is_long[d])[0]):
+            if len(z):
+                dz = d[z]
+                if is_long[dz[0]]:
+                    width = np.array([len(more[i]) if i in more else 0 for i in range(len(size))])
+                    wide = _as_binary(width[dz], np.concatenate([more[i] for i in dz]).view(np.uint8), 8)
+                else:
+                    wide = pa.nulls(len(z), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key[z].view(np.int64)), pa.array(ids[dz]), pa.array(facts[z]), pa.array(sk[dz, 0].view(np.int64)), pa.array(sk[dz, 1].view(np.int64)), wide], names=[x.split()[0] for x in ROW.split(", ")])
 
     return run
 
@@ -227,18 +276,19 @@ def _join_regions(t: Fraction):
     p, q = t.numerator, t.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held = [b for b in batches if b.num_rows]  # about ROWS, see links
         if not held:
             return
         col = pa.Table.from_batches(held)
-        key, kind, ids, n, pos, role = (col.column(i).to_numpy() for i in range(6))
-        order = np.lexsort((ids, n, key))
-        key, kind, ids, n, pos, role = (x[order] for x in (key, kind, ids, n.astype(np.int64), pos.astype(np.int64), role))
-        sk = np.stack([col.column(6).to_numpy(), col.column(7).to_numpy()], axis=1).view(np.uint64)[order]
-        more = col.column(8).combine_chunks()
+        key = col.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(key)  # by region, then by size
+        key, ids, facts, s0, s1 = key[order], *(col.column(i).to_numpy()[order] for i in (1, 2, 3, 4))
+        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+        n, pos, side, role, kind = facts >> 36, (facts >> 10) & 0x3FFFFFF, (facts >> 8) & 3, (facts >> 6) & 3, facts & 63
+        more = col.column(5).combine_chunks()
         wide_of = np.full(len(key), -1, dtype=np.int64)
-        has = np.nonzero(~np.asarray(more.is_null()))[0]
-        raw = [np.frombuffer(more[int(i)].as_buffer(), dtype=np.uint64) for i in has]
+        has = np.nonzero(more.is_valid().to_numpy(zero_copy_only=False))[0]
+        raw = [np.frombuffer(x, dtype=np.uint64) for x in more.drop_null().to_pylist()]
         del col, held
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
@@ -257,11 +307,14 @@ def _join_regions(t: Fraction):
             i, j = (np.concatenate(x) for x in zip(*held_pairs))
             held_pairs.clear()
             waiting = 0
+            ok = (role[j] & 1 > 0) & (ids[i] != ids[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            i, j = i[ok], j[ok]
+            swap = n[i] > n[j]  # only where sizes are beyond what a key holds
             both = n[i] + n[j]
             need = -((-p * both) // (p + q))
             most = both - 2 * need
-            ok = (role[i] & 2 > 0) & (role[j] & 1 > 0) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (ids[i] != ids[j])
-            ok &= np.bitwise_count(sk[i] ^ sk[j]).sum(axis=1) <= most
+            ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) | swap
+            ok &= np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= most
             i, j, most = i[ok], j[ok], most[ok]
             a_, b_ = wide_of[i], wide_of[j]
             long_ = np.nonzero((a_ >= 0) & (b_ >= 0))[0]
@@ -275,7 +328,7 @@ def _join_regions(t: Fraction):
                         keep[zz] = np.bitwise_count(levels[int(x)][a_[zz]] ^ levels[int(x)][b_[zz]]).sum(axis=1) <= most[zz]
                 i, j = i[keep], j[keep]
             if len(i):
-                found.append(np.stack([kind[i].astype(np.int64), np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
+                found.append(np.stack([kind[i], np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
                 if len(found) > 64:
                     found[:] = [np.unique(np.concatenate(found), axis=0)]
 
@@ -288,35 +341,42 @@ def _join_regions(t: Fraction):
                     settle()
 
         # A row meets the rows after it in its region that are not too long for it. Small regions are paired by offset,
-        # all of them at once; large ones in blocks, where whole rectangles of sketches are compared.
-        s0, s1 = np.ascontiguousarray(sk[:, 0]), np.ascontiguousarray(sk[:, 1])
-        longest = n * q // p
-        slack = (q - p) * (n + longest) // (p + q)  # most differing tokens with any such partner
+        # all of them at once; large ones in blocks, where whole rectangles of sketches are compared, the second half
+        # of a sketch only where the first one leaves a chance.
+        shown = (key & _U(0xFFFF)).astype(np.int64)
+        longest = np.where(shown == 0xFFFF, 0xFFFF, shown * q // p)
+        slack = np.where(shown == 0xFFFF, 1 << 20, (q - p) * (n + longest) // (p + q))  # most differing tokens with any such partner
         is_y = role & 2 > 0
-        edge = np.concatenate([[0], np.nonzero(np.diff(key))[0] + 1, [len(key)]])
+        edge = np.concatenate([[0], np.nonzero(np.diff(key >> _U(16)))[0] + 1, [len(key)]])
         length = np.diff(edge)
         small = length <= SMALL
-        row_region = np.repeat(np.arange(len(length)), length)
-        rest = edge[1:][row_region] - np.arange(len(key)) - 1  # rows after this one
+        rest = np.repeat(edge[1:], length) - np.arange(len(key)) - 1  # rows after this one
+        i = np.nonzero(np.repeat(small, length) & is_y)[0]
         for step in range(1, SMALL):
-            i = np.nonzero(small[row_region] & is_y & (rest >= step))[0]
+            i = i[rest[i] >= step]
             if not len(i):
                 break
             j = i + step
-            ok = (n[j] <= longest[i]) & (np.bitwise_count(s0[i] ^ s0[j]).astype(np.int16) + np.bitwise_count(s1[i] ^ s1[j]) <= slack[i])
+            ok = (shown[j] <= longest[i]) & (np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= slack[i])
             hold(i[ok], j[ok])
+        mixed, ones = np.empty((BLOCK, WIDE), dtype=np.uint64), np.empty((BLOCK, WIDE), dtype=np.uint8)
         for r in np.nonzero(~small)[0]:
             lo, hi = int(edge[r]), int(edge[r + 1])
             y = lo + np.nonzero(is_y[lo:hi])[0]
             for c in range(0, len(y), BLOCK):
                 ys = y[c : c + BLOCK]
-                far = lo + int(np.searchsorted(n[lo:hi], longest[ys[-1]], side="right"))
+                far = lo + int(np.searchsorted(shown[lo:hi], longest[ys].max(), side="right"))
+                limit = np.minimum(slack[ys], 255).astype(np.uint8)[:, None]
                 for a in range(int(ys[0]) + 1, far, WIDE):
                     b = min(a + WIDE, far)
-                    bits = np.bitwise_count(s0[ys, None] ^ s0[None, a:b]) + np.bitwise_count(s1[ys, None] ^ s1[None, a:b])
-                    u, v = np.nonzero(bits <= np.minimum(slack[ys], 255).astype(np.uint8)[:, None])
+                    x, bits = mixed[: len(ys), : b - a], ones[: len(ys), : b - a]
+                    np.bitwise_xor(s0[ys, None], s0[None, a:b], out=x)
+                    np.bitwise_count(x, out=bits)
+                    u, v = np.nonzero(bits <= limit)
                     i, j = ys[u], a + v
-                    ok = (j > i) & (n[j] <= longest[i])
+                    ok = (j > i) & (shown[j] <= longest[i])
+                    i, j = i[ok], j[ok]
+                    ok = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= slack[i]
                     hold(i[ok], j[ok])
         settle()
         if found:
@@ -328,46 +388,39 @@ def _join_regions(t: Fraction):
     return run
 
 
-def _verify(t: float, least: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            score = [similarity(Counter(words(a)), Counter(words(b))) for a, b in zip(f["text_a"], f["text_b"])]
-            f = f.assign(similarity=score)[["item_table", "a", "b", "similarity"]]
-            yield f[f["similarity"] >= t]
+LINK = "item_table string, a long, b long, similarity double"
 
-    return run
-
-
-def classes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes of copies, and members.
-
-    ``items`` has ``item_table``, ``id`` and ``text``. Texts of the same words in the same order, whatever stands
-    between them, are copies. A class has its least id as name. The text of a class is carried once per task, so that a
-    text that a third of all rows hold does not gather anywhere. Null texts belong to no class.
-    """
-    named = items.where("text is not null").select("item_table", "id", "text", F.xxhash64(_same_words("text")).alias("h0"), F.hash(_same_words("text")).alias("h1"))
-    heads = named.groupBy("item_table", "h0", "h1").agg(F.min("id").alias("id"), F.min("text").alias("text"))
-    members = named.groupBy("item_table", "h0", "h1", "id").agg(F.lit(1).alias("one")).select("item_table", "h0", "h1", "id")
-    return heads, members
 
+def _verify(t: Fraction):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (n_a, a), (n_b, c) = _from_binary(b.column(3)), _from_binary(b.column(4))
+            pair = np.arange(b.num_rows, dtype=np.uint64) << _U(8 * BYTES)
+            both = np.sort(np.concatenate([np.repeat(pair, n_a) | a, np.repeat(pair, n_b) | c]))
+            shared = both[1:][both[1:] == both[:-1]] >> _U(8 * BYTES)
+            common = np.bincount(shared.astype(np.int64), minlength=b.num_rows)
+            total = n_a + n_b - common
+            ok = common * t.denominator >= total * t.numerator
+            yield pa.RecordBatch.from_arrays([*(b.column(i).filter(pa.array(ok)) for i in range(3)), pa.array((common / np.maximum(total, 1))[ok])], names=[x.split()[0] for x in LINK.split(", ")])
 
-def _same_words(c: str):
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    return run
 
 
-def links(heads: DataFrame, threshold: float = 0.7, least: int = 20, region: int = REGION) -> DataFrame:
+def links(heads: DataFrame, threshold: float = 0.7, region: int = REGION) -> DataFrame:
     """Pairs of classes of one table whose similarity is at least ``threshold``, with the similarity.
 
-    ``heads`` has ``item_table``, ``id`` (unique in its table) and ``text``; it is read three times, so pass a stored
-    table. Texts of fewer than ``least`` words have no partner. The result is exact.
+    ``heads`` comes from :func:`classes`; it is read several times, so pass a stored table. Texts without tokens have no
+    partner. The result is exact but for words of equal hash (48 bits) and tokens of equal hash (40 bits).
     """
     spark = heads.sparkSession
     t = Fraction(str(threshold))
     if not 0 < t < 1:
         raise ValueError("the threshold lies between 0 and 1")
-    heads = heads.select("item_table", F.col("id").cast("long").alias("id"), "text")
+    heads = heads.where("n_words > 0").select("item_table", "id", "tokens")
     kinds = [r[0] for r in heads.select("item_table").distinct().orderBy("item_table").collect()]  # names of tables
-    rows = heads.mapInArrow(_count_words(kinds, least), "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    if len(kinds) > 64:
+        raise ValueError("at most 64 tables at a time")
+    rows = heads.select("item_table", "tokens").mapInArrow(_count_tokens(kinds), "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
     counts, docs = np.zeros((max(len(kinds), 1), BUCKETS), dtype=np.int64), np.zeros(max(len(kinds), 1), dtype=np.int64)
     for r in rows.toLocalIterator(prefetchPartitions=True):  # at most BUCKETS rows a table
         if r["bucket"] < 0:
@@ -375,11 +428,15 @@ def links(heads: DataFrame, threshold: float = 0.7, least: int = 20, region: int
         else:
             counts[r["kind"], r["bucket"]] = r["n"]
     table = spark.sparkContext.broadcast((counts, docs))
-    emitted = heads.mapInArrow(_emit(kinds, t, least, table, region), ROW)
-    pairs = emitted.repartition("key").mapInArrow(_join_regions(t), "kind int, a long, b long").distinct()
+    emitted = heads.mapInArrow(_emit(kinds, t, table, region), ROW)
+    # how many rows a document has is seen from a few; it decides about the number of tasks and nothing else
+    few = heads.limit(1000)
+    per = few.mapInArrow(_emit(kinds, t, table, region), ROW).count() / max(few.count(), 1)
+    tasks = max(math.ceil(per * int(docs.sum()) / ROWS), spark.sparkContext.defaultParallelism)
+    pairs = emitted.repartition(tasks, F.shiftright("key", 16)).mapInArrow(_join_regions(t), "kind int, a long, b long").distinct()
     named = spark.createDataFrame([(i, k) for i, k in enumerate(kinds)], "kind int, item_table string")
-    pairs = stored(pairs.join(F.broadcast(named), "kind").select("item_table", "a", "b"), "pairs")
-    left = heads.select("item_table", F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = heads.select("item_table", F.col("id").alias("b"), F.col("text").alias("text_b"))
-    texts = pairs.join(left, ["item_table", "a"]).join(right, ["item_table", "b"])
-    return texts.select("item_table", "a", "b", "text_a", "text_b").mapInPandas(_verify(float(threshold), least), "item_table string, a long, b long, similarity double")
+    pairs = pairs.join(F.broadcast(named), "kind").select("item_table", "a", "b")
+    left = heads.select("item_table", F.col("id").alias("a"), F.col("tokens").alias("tokens_a"))
+    right = heads.select("item_table", F.col("id").alias("b"), F.col("tokens").alias("tokens_b"))
+    both = pairs.join(left, ["item_table", "a"]).join(right, ["item_table", "b"])
+    return both.select("item_table", "a", "b", "tokens_a", "tokens_b").mapInArrow(_verify(t), LINK)

@@ -63,22 +63,18 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.unionByName(selectors)
 
 
-def _joined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links between classes, classes (id, number of words) and members."""
+def _joined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links between classes, and members with their class and its number of words."""
     heads, members = neardup.classes(_passages(spark, sf_dir))
     heads = stored(heads, "heads")
-    return neardup.links(heads.select("item_table", "id", "text")), heads, members
-
-
-def _members(heads: DataFrame, members: DataFrame) -> DataFrame:
-    n_words = F.size(F.filter(F.split(neardup._same_words("text"), " "), lambda w: w != ""))
-    return members.join(heads.select("item_table", "h0", "h1", F.col("id").alias("class_id"), n_words.alias("n_words")), ["item_table", "h0", "h1"]).select("item_table", "id", "class_id", "n_words")
+    named = heads.select("item_table", "h0", "h1", F.col("id").alias("class_id"), "n_words")
+    return neardup.links(heads), members.join(named, ["item_table", "h0", "h1"]).select("item_table", "id", "class_id", "n_words")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows whose bags of words are alike to 0.7 or more: pairs between classes, put out for all members."""
-    links, heads, members = _joined(spark, sf_dir)
-    of = stored(_members(heads, members).where("n_words >= 20"), "members")
+    links, members = _joined(spark, sf_dir)
+    of = stored(members.where("n_words >= 20"), "members")
     a = of.select("item_table", F.col("class_id").alias("a"), F.col("id").alias("i"))
     b = of.select("item_table", F.col("class_id").alias("b"), F.col("id").alias("j"))
     across = links.select("item_table", "a", "b").join(a, ["item_table", "a"]).join(b, ["item_table", "b"]).select("item_table", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
@@ -90,8 +86,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per passage with its class of copies and the number of rows it is linked to."""
-    links, heads, members = _joined(spark, sf_dir)
-    of = stored(_members(heads, members), "members")
+    links, members = _joined(spark, sf_dir)
+    of = stored(members, "members")
     size = of.groupBy("item_table", "class_id").agg(F.count("*").alias("n"), F.max("n_words").alias("w"))
     links = stored(links.select("item_table", "a", "b"), "links")
     both = links.unionByName(links.select("item_table", F.col("b").alias("a"), F.col("a").alias("b")))
