@@ -50,8 +50,13 @@ BYTES = 5  # of a token
 _U = np.uint64
 
 
+_BLANKED = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))
+
+
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The longest runs of letters and digits, in lower case."""
+    low = text.lower()
+    return low.translate(_BLANKED).split() if low.isascii() else WORD.findall(low)
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -89,7 +94,7 @@ def _tokens(texts: list[str | None], least: int, known: _Hashes) -> tuple[list[i
     n = np.array(n_words, dtype=np.int64)
     size = np.where(n >= least, n, 0)
     own = np.repeat(np.arange(len(n), dtype=np.uint64), size) << _U(48)
-    both = np.sort(own | np.array(flat, dtype=np.uint64))  # equal words of a text stand together
+    both = np.sort(own | np.fromiter(flat, np.uint64, len(flat)))  # equal words of a text stand together
     new = np.ones(len(both), dtype=bool)
     new[1:] = both[1:] != both[:-1]
     at = np.arange(len(both))
@@ -169,11 +174,23 @@ def _sketches(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, dict[in
     return sk, more
 
 
-def _fold(wide: np.ndarray, n_words: int) -> np.ndarray:
-    while len(wide) > n_words:
-        half = len(wide) // 2
-        wide = wide[:half] ^ wide[half:]
-    return wide
+def _levels(filled: pa.Array, width: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width: where the sketch of a row is, and the sketches of all rows that are as wide or wider, folded."""
+    _, offsets, data = filled.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[filled.offset : filled.offset + len(filled)].astype(np.int64) // 8
+    data = np.frombuffer(data, dtype=np.uint64, count=int(at[-1] + width[-1]))
+    found, above, rows = {}, np.zeros((0, 0), np.uint64), np.zeros(0, np.int64)
+    for w in sorted(np.unique(width), reverse=True):
+        while above.shape[1] > w:
+            half = above.shape[1] // 2
+            above = above[:, :half] ^ above[:, half:]
+        own = np.nonzero(width == w)[0]
+        mine = data[at[own][:, None] + np.arange(w)]
+        above, rows = np.concatenate([above, mine]) if len(above) else mine, np.concatenate([rows, own])
+        place = np.full(len(width), -1, dtype=np.int64)
+        place[rows] = np.arange(len(rows))
+        found[int(w)] = (place, above)
+    return found
 
 
 def _count_tokens(kinds: list[str]):
@@ -288,13 +305,13 @@ def _join_regions(t: Fraction):
         more = col.column(5).combine_chunks()
         wide_of = np.full(len(key), -1, dtype=np.int64)
         has = np.nonzero(more.is_valid().to_numpy(zero_copy_only=False))[0]
-        raw = [np.frombuffer(x, dtype=np.uint64) for x in more.drop_null().to_pylist()]
+        filled = more.drop_null()
+        width = np.array([len(x) // 8 for x in filled.to_pylist()] or [2], dtype=np.int64)
+        levels = _levels(filled, width) if len(filled) else {}
         del col, held
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
         wide_of[back[has]] = np.arange(len(has))
-        width = np.array([len(x) for x in raw] or [2], dtype=np.int64)
-        levels = {int(w): np.stack([_fold(x, int(w)) if len(x) >= w else np.zeros(int(w), np.uint64) for x in raw]) for w in np.unique(width)} if raw else {}
         found: list[np.ndarray] = []
         held_pairs: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
@@ -325,7 +342,8 @@ def _join_regions(t: Fraction):
                     z = long_[w == x]
                     for c in range(0, len(z), 1 << 17):
                         zz = z[c : c + (1 << 17)]
-                        keep[zz] = np.bitwise_count(levels[int(x)][a_[zz]] ^ levels[int(x)][b_[zz]]).sum(axis=1) <= most[zz]
+                        at, sketches = levels[int(x)]
+                        keep[zz] = np.bitwise_count(sketches[at[a_[zz]]] ^ sketches[at[b_[zz]]]).sum(axis=1) <= most[zz]
                 i, j = i[keep], j[keep]
             if len(i):
                 found.append(np.stack([kind[i], np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1))
@@ -341,8 +359,7 @@ def _join_regions(t: Fraction):
                     settle()
 
         # A row meets the rows after it in its region that are not too long for it. Small regions are paired by offset,
-        # all of them at once; large ones in blocks, where whole rectangles of sketches are compared, the second half
-        # of a sketch only where the first one leaves a chance.
+        # all of them at once; large ones in blocks, where whole rectangles of sketches are compared.
         shown = (key & _U(0xFFFF)).astype(np.int64)
         longest = np.where(shown == 0xFFFF, 0xFFFF, shown * q // p)
         slack = np.where(shown == 0xFFFF, 1 << 20, (q - p) * (n + longest) // (p + q))  # most differing tokens with any such partner
@@ -359,7 +376,7 @@ def _join_regions(t: Fraction):
             j = i + step
             ok = (shown[j] <= longest[i]) & (np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= slack[i])
             hold(i[ok], j[ok])
-        mixed, ones = np.empty((BLOCK, WIDE), dtype=np.uint64), np.empty((BLOCK, WIDE), dtype=np.uint8)
+        mixed, ones, others = np.empty((BLOCK, WIDE), dtype=np.uint64), np.empty((BLOCK, WIDE), dtype=np.uint8), np.empty((BLOCK, WIDE), dtype=np.uint8)
         for r in np.nonzero(~small)[0]:
             lo, hi = int(edge[r]), int(edge[r + 1])
             y = lo + np.nonzero(is_y[lo:hi])[0]
@@ -367,16 +384,23 @@ def _join_regions(t: Fraction):
                 ys = y[c : c + BLOCK]
                 far = lo + int(np.searchsorted(shown[lo:hi], longest[ys].max(), side="right"))
                 limit = np.minimum(slack[ys], 255).astype(np.uint8)[:, None]
+                y0, y1 = s0[ys, None], s1[ys, None]
                 for a in range(int(ys[0]) + 1, far, WIDE):
                     b = min(a + WIDE, far)
-                    x, bits = mixed[: len(ys), : b - a], ones[: len(ys), : b - a]
-                    np.bitwise_xor(s0[ys, None], s0[None, a:b], out=x)
-                    np.bitwise_count(x, out=bits)
-                    u, v = np.nonzero(bits <= limit)
+                    x, bits, more_bits = (z[: len(ys), : b - a] for z in (mixed, ones, others))
+                    np.bitwise_count(np.bitwise_xor(y0, s0[None, a:b], out=x), out=bits)
+                    np.bitwise_count(np.bitwise_xor(y1, s1[None, a:b], out=x), out=more_bits)
+                    bits += more_bits
+                    padded = -(-(b - a) // 8) * 8
+                    near = np.zeros((len(ys), padded), dtype=bool)
+                    np.less_equal(bits, limit, out=near[:, : b - a])
+                    eights = np.flatnonzero(near.reshape(-1).view(np.uint64))  # few are near: look at eight at a time
+                    if not len(eights):
+                        continue
+                    which, byte = np.nonzero(near.reshape(-1, 8)[eights])
+                    u, v = np.divmod(eights[which] * 8 + byte, padded)
                     i, j = ys[u], a + v
                     ok = (j > i) & (shown[j] <= longest[i])
-                    i, j = i[ok], j[ok]
-                    ok = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= slack[i]
                     hold(i[ok], j[ok])
         settle()
         if found:
