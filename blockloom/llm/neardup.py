@@ -42,7 +42,7 @@ WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18  # size of the table of counts, whatever the data
 REGION = 20_000  # a region expected to hold more documents is cut again
 DEPTH = 4  # most tokens that name a region
-ROWS = 400_000  # rows of regions that one task holds
+ROWS = 120_000  # rows of regions that one task holds
 PAIRS = 1 << 20  # pairs looked at closely in one step
 SMALL, BLOCK, WIDE = 24, 64, 2048  # rows of a small region; rectangles of a large one
 LONG, MOST = 80, 64  # tokens of a document that needs a wider sketch; most words of 64 bits of one

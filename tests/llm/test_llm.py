@@ -177,6 +177,23 @@ def test_packing_splits_only_what_exceeds(spark):
     assert packing.pack(df.limit(0), 10).count() == 0
 
 
+def test_packing_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CONTAINERS", 100)  # several packers and rounds
+    sizes = spark.range(9000).select("id", (F.abs(F.xxhash64("id")) % 900 + 20).alias("size"))
+    seen = set()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (4, 64, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        packed = packing.pack(sizes.repartition(n), 2000).collect()
+        fill = Counter()
+        for r in packed:
+            fill[r.container_item, r.container_piece] += r["size"]
+        assert len(packed) == 9000 and max(fill.values()) <= 2000 and sum(fill.values()) / (2000 * len(fill)) >= 0.98
+        seen.add(frozenset(packed))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1
+
+
 def test_mixing(spark):
     sized = spark.range(4000).select("id", F.when(F.col("id") < 3000, "big").when(F.col("id") < 3900, "mid").otherwise("small").alias("source"), F.lit(10).alias("tokens"))
     sized = sized.unionByName(spark.createDataFrame([(9000, None, 10)], "id long, source string, tokens int"))
