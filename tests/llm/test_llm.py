@@ -216,10 +216,16 @@ def test_tokens(spark):
 def test_sentences():
     t = "---\na: 1\n---\n# Head\n\nOne two. Three\nfour!\n\n- item one\n- item two\n\n```\ncode here.\n```\n\n| a | b |\n\nTitle\n-----\n\nSee [the link](x) end <!-- stay:x --> `c`.\n"
     assert reading.sentences(t) == [["one", "two"], ["three", "four"], ["item", "one"], ["item", "two"], ["see", "end"]]
-    assert reading.sentences("") == [] and reading.Model({}, np.zeros(7)).level("# only\n") is None
+    assert reading.sentences("") == [] and reading.Model({}, np.zeros(5)).level("# only\n") is None
 
 
-def test_reading_held_out():
+def test_prose_that_begins_like_markup_stays():
+    lines = ["<https://a.b> is a site that shows text.", "<time>Tuesday</time> was a long day for all.", "= 5 is the answer.", "#7 is closed now.", "<title>Name</title> of it."]
+    assert [" ".join(x) for x in reading.sentences("\n\n".join(lines))] == ["is a site that shows text", "tuesday was a long day for all", "is the answer", "is closed now", "name of it"]
+    assert reading.sentences("== Head ==\n\n= One =\n\n<h2>Two</h2>\n\n<td>cell</td>\n\n</table>\n\n\\section{Three}\n") == []
+
+
+def test_reading_held_out(spark):
     rng = random.Random(6)
     easy, mid, hard = ([f"{p}{i}" for i in range(60)] for p in ("e", "m", "h"))
     letters = str.maketrans("0123456789", "abcdefghij")
@@ -228,9 +234,17 @@ def test_reading_held_out():
         pool = easy if grade < 5 else easy + mid if grade < 12 else mid + hard
         return " ".join(" ".join(rng.choice(pool).translate(letters) for _ in range(5 + grade)) + "." for _ in range(12))
 
-    rows = [(i, doc(g), float(g)) for i, g in enumerate([3, 8, 15] * 40)]
-    model = reading.fit(rows)
-    assert all(abs(model.level(doc(g)) - g) < 2.5 for g in [3, 8, 15] * 10) and reading.fit([]) is None
+    docs = [(i, "en", doc(g), g) for i, g in enumerate([3, 8, 15] * 40)]
+    labels = spark.createDataFrame([(i, "r", g) for i, _, _, g in docs] + [(500, "r", 1), (501, "r", 1), (502, None, None)], "doc_id long, rater string, grade int")
+    texts = spark.createDataFrame([d[:3] for d in docs] + [(500, "de", "Ein Satz."), (501, "en", None)], "doc_id long, lang string, text string")
+    model = reading.train(texts, labels)
+    assert all(abs(model.level(doc(g)) - g) < 2.5 for g in [3, 8, 15] * 10)
+    assert reading.train(texts, labels, limit=len(docs)).grades == model.grades  # what cannot be used takes up no room
+    assert reading.train(texts, labels.limit(0)) is None and reading.train(texts.limit(0), labels) is None
+    words = Counter({"a": 3, "b": 2, "c": 5, "d": 1})
+    grades = {"a": 1.0, "b": 4.0, "d": 9.0}
+    flat = sorted(grades[w] for w, n in words.items() if w in grades for _ in range(n))
+    assert reading.features(words, grades) == [1.0, *(flat[min(int(q * len(flat)), len(flat) - 1)] for q in reading.QUANTILES)]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
