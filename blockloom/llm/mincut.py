@@ -55,40 +55,54 @@ def _max_flow(n: int, arcs: list[tuple[int, int, float, float]], s: int, t: int)
                 break
 
 
+def alone(costs: list[tuple[float, float]]) -> list[bool]:
+    """The labels that nodes would take without edges; ties go to the second label."""
+    return [a < b for a, b in costs]
+
+
 def label(costs: list[tuple[float, float]], edges: list[tuple[int, int, float]]) -> list[bool]:
     """For each node whether it takes the first label, so that the sum of the costs of the labels taken and of the
     edges between different labels is least. Ties go to the second label.
 
-    Components whose nodes all prefer one label take it: that cut is empty of edges and each node pays its least. Only
-    the others need a flow.
+    A node whose costs differ by more than the weight of its edges takes the cheaper label in any least cut; it is
+    fixed, and its edges become costs of its neighbours, which may fix them in turn. The components of what is left are
+    cut by a maximum flow.
     """
-    wish = [a < b for a, b in costs]
-    near: dict[int, list[int]] = {}
-    for k, (a, b, _) in enumerate(edges):
-        near.setdefault(a, []).append(k)
-        near.setdefault(b, []).append(k)
-    seen: set[int] = set()
-    for start in near:
-        if start in seen:
+    near: list[list[tuple[int, float]]] = [[] for _ in costs]
+    for a, b, w in edges:
+        near[a].append((b, w))
+        near[b].append((a, w))
+    gain = [b - a for a, b in costs]  # above 0: the first label is cheaper
+    slack = [sum(w for _, w in e) for e in near]
+    fixed: list[bool | None] = [None] * len(costs)
+    todo = [k for k in range(len(costs)) if abs(gain[k]) > slack[k] or not near[k]]
+    while todo:
+        a = todo.pop()
+        if fixed[a] is not None:
             continue
-        part, stack, own = [], [start], set()
-        seen.add(start)
+        fixed[a] = gain[a] > 0
+        for b, w in near[a]:
+            if fixed[b] is None:
+                gain[b] += w if fixed[a] else -w
+                slack[b] -= w
+                if abs(gain[b]) > slack[b] + 1e-9:
+                    todo.append(b)
+    for start in range(len(costs)):
+        if fixed[start] is not None:
+            continue
+        part, at, stack = [], {start: 0}, [start]
         while stack:
             a = stack.pop()
             part.append(a)
-            for k in near[a]:
-                own.add(k)
-                for b in edges[k][:2]:
-                    if b not in seen:
-                        seen.add(b)
-                        stack.append(b)
-        if len({wish[a] for a in part}) == 1:
-            continue
+            for b, _ in near[a]:
+                if fixed[b] is None and b not in at:
+                    at[b] = 0
+                    stack.append(b)
         at = {a: i for i, a in enumerate(part)}
         s, t = len(part), len(part) + 1
-        arcs = [(at[edges[k][0]], at[edges[k][1]], edges[k][2], edges[k][2]) for k in own]
-        arcs += [(s, i, costs[a][1], 0.0) for a, i in at.items()] + [(i, t, costs[a][0], 0.0) for a, i in at.items()]
+        arcs = [(at[a], at[b], w, w) for a in part for b, w in near[a] if b in at and at[a] < at[b]]
+        arcs += [(s, i, max(gain[a], 0.0), 0.0) for a, i in at.items()] + [(i, t, max(-gain[a], 0.0), 0.0) for a, i in at.items()]
         side = _max_flow(len(part) + 2, arcs, s, t)
         for a, i in at.items():
-            wish[a] = side[i]
-    return wish
+            fixed[a] = side[i]
+    return [bool(x) for x in fixed]

@@ -270,3 +270,44 @@ def test_text_of_footnotes_stays():
     t = "Text[^1] goes on.[^long]\n\n[^1]: The text of the *note*.\n[^long]: A second note\nof two lines.\n  [^3]: Indented.\n[ref]: http://example.org/x\n"
     assert [p.text for p in markup.clean(t)] == ["Text goes on.", "The text of the note.", "A second note of two lines.", "Indented."]
     assert markup.families(t) == ["markdown"]
+
+
+def test_clean_survives_any_code_point():
+    for t in ("\ue001x", "\ue003 heading", "\ue0031", "\ue001\ue002", "a\ue000b *c*", "# \ue004\n\n- \ue005"):
+        assert markup.clean(t)
+    rng = random.Random(8)
+    signs = [chr(c) for c in (0xE000, 0xE001, 0xE002, 0xE003, 0xE004, 0xE005, 0xE006, 0x0, 0xFFFF, 0x10FFFF, 0x2028, 0x85)] + list("#*`<>|\\[]{}$=\n- 1.a")
+    for _ in range(3000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(1, 40)))
+        markup.families(t), markup.clean(t)
+
+
+def test_what_is_content_is_not_taken_out():
+    assert markup.families("\\[one two three four five *bold* words\\]") == ["markdown"]
+    assert [tuple(p) for p in markup.clean("\\[one two three four five *bold* words\\]")] == [("paragraph", 0, "[one two three four five bold words]")]
+    assert markup.families("see \\(this\n\nand *that* there are many words\\)") == ["markdown"]
+    assert [p.kind for p in markup.clean("so \\[ x^2 \\] it is")] == ["paragraph", "formula", "paragraph"]
+
+
+def test_labels_change_through_edges():
+    def families(t, labels):
+        return {s.family for s, yes in zip(t.spans, labels) if yes}
+
+    g = markup.propose("It moved to C:\\to\\log on the host.")
+    assert families(g, mincut.alone(g.costs())) == {"latex"} and not families(g, g.labels())
+    g = markup.propose("put <item-name> there")
+    assert families(g, mincut.alone(g.costs())) == {"html"} and not families(g, g.labels())
+    g = markup.propose("<item-name>put it</item-name>")
+    assert families(g, g.labels()) == {"html"}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_labels_change_through_edges_on_the_tables(spark):
+    changed, wrong_alone = 0, 0
+    texts = [r.text for r in queries._texts(spark, DATA.replace("0.001", "0.01")).where("text is not null").select("text").distinct().collect()]
+    for t in texts:
+        g = markup.propose(markup._one_line_end(t))
+        with_edges, alone = g.labels(), mincut.alone(g.costs())
+        changed += sum(a != b for a, b in zip(with_edges, alone))
+        wrong_alone += {s.family for s, y in zip(g.spans, with_edges) if y} != {s.family for s, y in zip(g.spans, alone) if y}
+    assert changed > 0 and wrong_alone > 0
