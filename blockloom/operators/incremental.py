@@ -51,6 +51,19 @@ class Target:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*parts)
 
+    def newest(self, keys: list[str]) -> tuple[DataFrame, int]:
+        """The newest version of each key, and how many parts were read for it.
+
+        The last compaction and the parts after it hold every newest version, so that what is read grows with the
+        number of keys and not with the number of runs.
+        """
+        entries = self.entries()
+        at = max((i for i, e in enumerate(entries) if e.get("state")), default=-1)
+        parts = ([entries[at]["state"]] if at >= 0 else []) + [e["part"] for e in entries[at + 1 :]]
+        if not parts:
+            return latest(self.spark.createDataFrame([], self.schema), keys), 0
+        return latest(self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/{p}" for p in parts)), keys), len(parts)
+
     def write_part(self, df: DataFrame) -> str:
         part = uuid.uuid4().hex
         df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.parquet(f"{self.path}/data/{part}")
@@ -72,13 +85,18 @@ class Target:
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf).rename(tmp, final, options)
 
 
+#: Parts that are read for the newest versions before a run writes them as one.
+COMPACT = 16
+
+
 def latest(target: DataFrame, keys: list[str]) -> DataFrame:
     """The newest version of each key in the target."""
     return target.groupBy(*keys).agg(F.max(F.struct("version", "body")).alias("t")).select(*keys, F.col("t.version").alias("t_version"), F.col("t.body").alias("t_body"))
 
 
-def fresh_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys whose newest version in ``source`` is not in ``target``, with ``changed`` where the body differs too.
+def fresh_rows(source: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose newest version in ``source`` is not among those of ``known`` (from :func:`latest`), with ``changed``
+    where the body differs too.
 
     ``source`` has the keys, ``version`` and ``body``. Repeated rows collapse before the shuffle, so that a hot key
     costs one row per task. Of rows with the same key and version the greater body stands, whatever their order; a null
@@ -86,7 +104,7 @@ def fresh_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFra
     outer join with a filter, which keeps the superseded body at hand in the same shuffle.
     """
     new = source.groupBy(*keys).agg(F.max(F.struct("version", "body")).alias("s")).select(*keys, F.col("s.version").alias("version"), F.col("s.body").alias("body"))
-    old = latest(target, keys).withColumn("known", F.lit(True)).withColumnsRenamed({k: f"t_{k}" for k in keys})
+    old = known.withColumn("known", F.lit(True)).withColumnsRenamed({k: f"t_{k}" for k in keys})
     on = [new[k].eqNullSafe(old[f"t_{k}"]) for k in keys]
     newer = F.col("known").isNull() | (F.struct("version", "body") > F.struct("t_version", "t_body"))
     changed = F.col("known").isNull() | ~F.col("body").eqNullSafe(F.col("t_body"))
@@ -102,24 +120,33 @@ class IncrementalRun:
         fields += [T.StructField("version", version), T.StructField("body", body), T.StructField("changed", T.BooleanType()), T.StructField("run_id", T.LongType())]
         self.target = Target(spark, path, T.StructType(fields))
 
-    def run(self, source: DataFrame, run_id: int, upto: int, arrived: str, prepare=None, before_publish=None) -> bool:
+    def run(self, source: DataFrame, run_id: int, upto: int, arrived: str, prepare=None, before_publish=None, lag: int | None = None) -> bool:
         """Process what arrived up to ``upto`` (microseconds since 1970) and is not in the target; False if this run was published before.
 
-        The last published entry tells from when on rows can be unseen; failed runs published nothing and thus move
-        nothing. Rows without an arrival time were never seen. ``prepare`` turns source rows into keys, version and
+        The anti-join against the target decides what is new, so that a row that becomes visible late is found whatever
+        its arrival time. ``lag`` (microseconds) is for a source that is partitioned by arrival and whose rows are
+        visible at most so long after it: then rows that arrived longer than that before the last published run are
+        not read again. Rows without an arrival time were never seen. ``prepare`` turns source rows into keys, version and
         body; ``before_publish`` is a hook for fault tests.
         """
         entries = self.target.entries()
         if any(e["run_id"] == run_id for e in entries):
             return False
         seen = source.where(F.col(arrived) <= F.timestamp_micros(F.lit(upto)))
-        if entries:
-            seen = seen.where(F.col(arrived) > F.timestamp_micros(F.lit(entries[-1]["upto"])))
-        rows = fresh_rows(prepare(seen) if prepare else seen, self.target.read(), self.keys)
+        if entries and lag is not None:
+            seen = seen.where(F.col(arrived) > F.timestamp_micros(F.lit(entries[-1]["upto"] - lag)))
+        known, n_parts = self.target.newest(self.keys)
+        rows = fresh_rows(prepare(seen) if prepare else seen, known, self.keys)
         part = self.target.write_part(rows.withColumn("run_id", F.lit(run_id)))
+        facts = {}
+        if n_parts >= COMPACT:
+            new = self.target.spark.read.schema(self.target.schema).parquet(f"{self.target.path}/data/{part}")
+            before = known.select(*self.keys, F.col("t_version").alias("version"), F.col("t_body").alias("body"))
+            both = latest(before.unionByName(new.select(*self.keys, "version", "body")), self.keys).withColumnsRenamed({"t_version": "version", "t_body": "body"})
+            facts["state"] = self.target.write_part(both.withColumns({"changed": F.lit(False), "run_id": F.lit(run_id)}))
         if before_publish:
             before_publish()
-        self.target.publish(part, len(entries), run_id=run_id, upto=upto)
+        self.target.publish(part, len(entries), run_id=run_id, upto=upto, **facts)
         return True
 
     def changes(self) -> DataFrame:
@@ -141,11 +168,13 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
 def replay_runs(chunks: DataFrame, runs: DataFrame, path: str) -> IncrementalRun:
     """Every successful run of the log in the order of its start, against one target under ``path``.
 
+    In this log a row is visible from ``loaded_at`` on, so that the lag is none.
+
     The run log is control data of a few rows, read by the driver as a scheduler would. Runs without a start are no runs.
     """
     state = IncrementalRun(chunks.sparkSession, path, {"source": T.StringType(), "id": T.StringType()}, T.IntegerType(), T.BinaryType())
     log = runs.where("status = 'ok' and started_at is not null").select("run_id", F.unix_micros("started_at").alias("at")).distinct().orderBy("at", "run_id")
     for r in log.toLocalIterator():
-        state.run(chunks, r["run_id"], r["at"], "loaded_at", chunk_records)
+        state.run(chunks, r["run_id"], r["at"], "loaded_at", chunk_records, lag=0)
     return state
 

@@ -63,6 +63,33 @@ def test_crash_before_publish_and_repeat(spark):
     assert found(new()) == [(1, "a.md", "x")]
 
 
+def _state(spark, path):
+    return IncrementalRun(spark, path, {"source": T.StringType(), "id": T.StringType()}, T.IntegerType(), T.BinaryType())
+
+
+def test_a_row_that_becomes_visible_late_is_found(spark):
+    at = [int((DAY + dt.timedelta(days=d)).timestamp() * 1e6) for d in range(9)]
+    rows = [chunk(1, "x", "one", 1, 0)]
+    late = rows + [chunk(2, "y", "slow writer", 1, 0.5)]  # arrived before the first run, visible after it
+    for lag, want in ((None, [(1, "a.md", "x"), (2, "a.md", "y")]), (0, [(1, "a.md", "x")]), (at[1] - at[0], [(1, "a.md", "x"), (2, "a.md", "y")])):
+        state = _state(spark, scratch(spark, "t"))
+        state.run(spark.createDataFrame(rows, CHUNKS), 1, at[1], "loaded_at", chunk_records, lag=lag)
+        state.run(spark.createDataFrame(late, CHUNKS), 2, at[2], "loaded_at", chunk_records, lag=lag)
+        assert found(state) == want
+
+
+def test_compaction_changes_nothing(spark, monkeypatch):
+    from blockloom.operators import incremental
+
+    monkeypatch.setattr(incremental, "COMPACT", 2)
+    state = _state(spark, scratch(spark, "t"))
+    for day in range(1, 7):
+        rows = [chunk(n, f"k{n % 3}", f"text {n}", n, n) for n in range(1, day)]
+        state.run(spark.createDataFrame(rows, CHUNKS), day, int((DAY + dt.timedelta(days=day)).timestamp() * 1e6), "loaded_at", chunk_records)
+    assert found(state) == [(n + 1, "a.md", f"k{n % 3}") for n in range(1, 6)]
+    assert sum("state" in e for e in state.target.entries()) >= 2 and state.target.newest(state.keys)[1] <= 3
+
+
 def test_two_writers_cannot_publish_one_entry(spark):
     t = Target(spark, scratch(spark, "t"), T.StructType([T.StructField("a", T.IntegerType())]))
     part = t.write_part(spark.createDataFrame([(1,)], "a int"))
