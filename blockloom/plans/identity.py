@@ -278,17 +278,59 @@ with r as (select doc_id, unnest(ls) as ln, unnest(range(1, len(ls) + 1)) as i f
 f as (select *, regexp_matches(ln, '\S') as nb from r), g as (select *, coalesce(lag(nb) over (partition by doc_id order by i), false) as pb from f),
 n as (select *, sum(case when nb and not pb then 1 else 0 end) over (partition by doc_id order by i rows unbounded preceding) as ch from g),
 c as (select doc_id, ch, string_agg(ln, chr(10) order by i) as chunk from n where nb group by 1, 2),
-s as (select * from (values """ + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in survival.SYNTAXES) + r""") v(marker, template, pattern)),
+s as (select * from (values
+  ('html_comment', '<!-- stay:{0} -->', '<!--\s*stay:{0}\b[^>]*-->'),
+  ('html_comment_hash', '<!-- stay:{0} hash=sha256:{1} -->', '<!--\s*stay:{0}\b[^>]*-->'),
+  ('pandoc_attr', '{#{0}}', '\{#{0}\b[^}]*\}'),
+  ('kramdown_ial', '{: #{0}}', '\{:\s*#{0}\b[^}]*\}'),
+  ('obsidian_caret', '^{0}', '\^{0}\b'),
+  ('visible_tag', '[{0}]', '\[{0}\]'),
+  ('mdx_comment', '{/* stay:{0} */}', '\{/\*\s*stay:{0}\b.*?\*/\}'),
+  ('frontmatter_map', '  {0}: "{1}"', '{0}')) v(marker, template, pattern)),
 w as (select doc_id, 'blk' || (ch - 1) || left(sha256(chunk), 4) as id, left(sha256(chunk), 4) as h, marker, pattern, template from c cross join s),
 o as (select doc_id, id, h, marker, replace(pattern, '{0}', id) as pattern, replace(replace(template, '{0}', id), '{1}', h) as written from w),
 e as (select *, case when h < '4' then regexp_replace(written, '[{}<>\[\]^]', '', 'g') when h > 'd' then '' else written end as out, h < '8' as instructed from o),
 cells as (select doc_id, marker, instructed, count(*) as n_ids, count(*) filter (regexp_matches(out, pattern)) as intact, count(*) filter (regexp_matches(out, '\b' || id || '\b')) as present from e group by 1, 2, 3)"""
 
+_SYNONYMS = """map {
+  'messages': 'records', 'message': 'record', 'order': 'request', 'orders': 'requests', 'pipeline': 'workflow', 'validate': 'check',
+  'validation': 'checking', 'partner': 'vendor', 'product': 'catalogue', 'pricing': 'price', 'error': 'fault', 'errors': 'faults',
+  'stage': 'step', 'stages': 'steps', 'queue': 'buffer', 'backup': 'archive', 'data': 'information', 'configuration': 'config',
+  'files': 'documents', 'drive': 'disk', 'remote': 'offsite', 'repository': 'repo', 'repositories': 'repos', 'checklist': 'list',
+  'restore': 'recovery', 'coverage': 'breadth', 'confidence': 'assurance', 'persist': 'store', 'persistence': 'storage',
+  'downstream': 'later', 'consumers': 'clients'}"""
+_END = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _reworded(t: str) -> str:
+    words = f"array_to_string(list_transform(regexp_extract_all({t}, '[A-Za-z]+|[^A-Za-z]+'), lambda w: coalesce(map_extract({_SYNONYMS}, lower(w))[1], w)), '')"
+    return f"rtrim(regexp_replace({words}, ', ', ' and '), {_END}) || ' (revised)'"
+
+
+_LEVEL = r"""case when regexp_matches(text, '^#{1,6}([ \t]|$)') then length(regexp_extract(text, '^(#+)', 1)) when regexp_matches(text, '^[^\n]*\S[^\n]*\n=+[ \t]*$') then 1 when regexp_matches(text, '^[^\n]*\S[^\n]*\n-+[ \t]*$') then 2 else 0 end"""
+_HEADS = _PB + f""",
+leveled as (select *, {_LEVEL} as lv from pb), heads as (select *, case when lv > 0 then row_number() over (partition by doc_id, lv > 0 order by i) end as nh, count(*) filter (lv > 0) over (partition by doc_id) as n_heads from leveled),
+seconds as (select doc_id, i as second, lv as level from heads where nh = 2)"""
+_EDITS = {
+    "heavy_paraphrase": _PB + f" select doc_id, i as pos, case when para then {_reworded('text')} else text end as text, id as ids from pb",
+    "decoy": _PB + f""", out as (select doc_id, i, 0 as s, case when nth = 1 then rtrim(text, {_END}) || ' A small clarifying note.' else text end as text, id from paras union all select doc_id, i, 1, {_reworded('text')}, null from paras where nth = 1)""" + _ROWS,
+    "cross_section_move": _HEADS + """, chosen as (select h.doc_id, min(i) as src from heads h join seconds using (doc_id) where i > second and lv = 0 group by 1),
+lasts as (select h.doc_id, max(i) as l from heads h join chosen using (doc_id) where i <> src group by 1),
+out as (select h.doc_id, case when i = src then l - 0.5 else i end as i, 0 as s, text, id from heads h left join chosen using (doc_id) left join lasts using (doc_id))""" + _ROWS,
+    "section_move": _HEADS + """, bounds as (select h.doc_id, second, coalesce(min(i) filter (i > second and lv between 1 and level), max(n)) as fin from heads h join seconds using (doc_id) where n_heads >= 3 group by 1, 2),
+out as (select h.doc_id, case when i >= second and i < fin then 1 else 0 end as i, i as s, text, id from heads h left join bounds using (doc_id))""" + _ROWS,
+    "heading_rename": _HEADS + rf""" select doc_id, i as pos, case when coalesce(nh % 2 = 0, false) then
+  case when regexp_matches(text, '^ {{0,3}}#{{1,6}}\s') then regexp_extract(text, '^ {{0,3}}(#{{1,6}})\s', 1) || ' ' || {_reworded("rtrim(trim(regexp_replace(regexp_extract(text, '^ {0,3}#{1,6}[ \t]+([^\n]*)', 1), '#+[ \t]*$', ''), ' '), ' ' || chr(9))")}
+  else {_reworded("split_part(text, chr(10), 1)")} || chr(10) || split_part(text, chr(10), 2) end else text end as text, id as ids from heads""",
+    "heading_delete": _HEADS + ", out as (select doc_id, i, 0 as s, text, id from heads where coalesce(nh, 0) <> 2)" + _ROWS,
+}
+_MARKED_RAW = r"regexp_extract_all(input, '(?s)(?:<!--|\{/\*)\s*stay:\s*([A-Za-z0-9_-]+)\s[^>]*?(?:-->|\*/\})', 1)"
+
 SQL = {
     "stamped": _written(f"concat_ws(chr(10), string_agg(m.raw, chr(10) order by m.seq), case when b.idx >= 0 and not {_NAMED} then {_NEW} end)", _PLAIN),
     "restamped": _written(f"string_agg({_RENEWED}, chr(10) order by m.seq)", _DIRTY),
     "repaired_ids": _DIRTY + " select doc_id, pos, seq, id, left(sha256(doc_id || ':' || pos || ':' || seq || ':' || id), 8) as new_id from (select *, row_number() over (partition by doc_id, id order by pos, seq) as n from marks where id is not null and not malformed) where n > 1",
-    "wrapped_prompts": f"select doc_id, sha256('Shorten the text.' || chr(10) || chr(10) || '{stamp.PRESERVE}' || chr(10) || chr(10) || '{stamp.RETURN_ONLY}' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || {sql.edges('text')}) as digest from documents where text is not null",
+    "wrapped_prompts": f"select doc_id, sha256('Shorten the text.' || chr(10) || chr(10) || 'This document contains identity markers such as <!-- stay:ID --> or {{/* stay:ID */}}. Keep every marker directly after the block it belongs to, give new blocks none, and never reuse the marker of a block for other content.' || chr(10) || chr(10) || 'Return only the resulting Markdown document.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || {sql.edges('text')}) as digest from documents where text is not null",
     "anchors": _PLAIN + "," + _ANCHORS.format("", sql.digest("n.content")) + " select * from anchors",
     "resolve_marker_hash": _TIERS + " select * from tiers",
     "twin_captures": _TIERS + " select t.doc_id, t.id, t.target from tiers t where method = 'hash' and exists (select 1 from marks_a m where m.doc_id = t.doc_id and m.idx = t.target)",
@@ -311,7 +353,7 @@ select c.doc_id, coalesce(d, 0) as content_drops, coalesce(s, 0) as marker_strip
     "eligible_docs": r"""select doc_id, doc_path, cast(n as int) as n_words from (select *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) as n from documents)
 where doc_path like '%.md' and not regexp_matches(doc_path, '(^|/)INDEX\.md$') and contains(text, 'stay:') and n <= 400""",
     "perturb_reorder": _PB + " select doc_id, cast(n - 1 - i as int) as pos, text, id as ids from pb",
-    "perturb_edit_in_place": _PB + f" select doc_id, i as pos, case when para and i % 2 = 1 then rtrim(regexp_replace(text, 'the ', 'each ')) || '{perturb.ADDED}' else text end as text, id as ids from pb",
+    "perturb_edit_in_place": _PB + f" select doc_id, i as pos, case when para and i % 2 = 1 then rtrim(regexp_replace(text, 'the ', 'each ')) || ' This sentence was added by an editor.' else text end as text, id as ids from pb",
     "perturb_delete": _PB + ", out as (select doc_id, i, 0 as s, text, id from paras where nth is null or nth <> 2)" + _ROWS,
     "perturb_clone": _PB + ", out as (select doc_id, i, 0 as s, text, id from paras union all select doc_id, i, 1, text, null from paras where nth = 1)" + _ROWS,
     "perturb_split": _PB + """, c as (select *, min(case when para and contains(text, '. ') then i end) over (partition by doc_id) as f from pb),
@@ -319,6 +361,31 @@ out as (select doc_id, i, 0 as s, case when i = f then left(text, cast(instr(tex
     "perturb_merge": _PB + """, c as (select *, min(case when para and np then i end) over (partition by doc_id) as f from paras),
 out as (select doc_id, i, 0 as s, case when i = f then rtrim(text) || ' ' || ltrim(nt) else text end as text, case when i = f then id || ',' || nid else id end as id from c where f is null or i <> f + 1)""" + _ROWS,
     "perturb_insert": _PB + f""", d as (select distinct doc_id, n // 2 as mid from pb),
-out as (select doc_id, 0 as i, 0 as s, text, id from pb where i = 0 union all select doc_id, 1, 0, '{perturb.DISTRACTORS[0]}', null from d union all select p.doc_id, 2, p.i, text, id from pb p join d using (doc_id) where p.i >= 1 and p.i < mid
-  union all select doc_id, 3, 0, '{perturb.DISTRACTORS[1]}', null from d union all select p.doc_id, 4, p.i, text, id from pb p join d using (doc_id) where p.i >= mid)""" + _ROWS,
+out as (select doc_id, 0 as i, 0 as s, text, id from pb where i = 0 union all select doc_id, 1, 0, 'This is an entirely new paragraph inserted by a later editor, describing unrelated background that did not exist before.', null from d union all select p.doc_id, 2, p.i, text, id from pb p join d using (doc_id) where p.i >= 1 and p.i < mid
+  union all select doc_id, 3, 0, 'Another new paragraph was added here to pad the document with additional context that no original marker should ever match.', null from d union all select p.doc_id, 4, p.i, text, id from pb p join d using (doc_id) where p.i >= mid)""" + _ROWS,
+}
+SQL |= {f"perturb_{op}": text for op, text in _EDITS.items()}
+
+
+def _truth_of(op: str) -> str:
+    """Every id sits on the block that carries it after the edit; of a split block either part will do; ids that are gone
+    must be detached."""
+    accept = "case when following = '' then pos || ',' || (pos + 1) else cast(pos as varchar) end" if op == "split" else "cast(pos as varchar)"
+    gone = f" union all select doc_id, id, null, null from (select doc_id, id from ({_PB} select doc_id, id from pb) except select doc_id, id from homes)" if op in ("delete", "heading_delete") else ""
+    return f"""with edited as ({SQL['perturb_' + op]}), near as (select *, lead(ids) over (partition by doc_id order by pos) as following from edited),
+homes as (select doc_id, unnest(string_split(ids, ',')) as id, pos, following from near where ids <> '')
+select doc_id, id, {accept} as accept, pos as preferred from homes{gone}"""
+
+
+SQL |= {f"truth_{op}": _truth_of(op) for op in STUDY if f"perturb_{op}" in SQL}
+_RESTAMPED = SQL["restamped"].replace(_DIRTY, _PLAIN)
+SQL |= {
+    "survival_report": _SURVIVAL + """ select 'marker' as grouping, marker, cast(null as varchar) as instructed, avg(intact / n_ids) as mean_rate, count(*) as n_cells from cells group by marker
+union all select 'instructed', null, cast(instructed as varchar), avg(intact / n_ids), count(*) from cells group by instructed
+union all select 'marker+instructed', marker, cast(instructed as varchar), avg(intact / n_ids), count(*) from cells group by marker, instructed""",
+    "chunked": "with " + sql.parse(_RESTAMPED, "_r") + f""",
+dup as (select doc_id from marks_r where id is not null and not malformed group by doc_id, id having count(*) > 1),
+odd as (select b.doc_id from blocks_r b left join marks_r m on m.doc_id = b.doc_id and m.pos = b.pos where b.idx >= 0 group by b.doc_id, b.pos having count(m.id) filter (not m.malformed) <> 1),
+bad as (select doc_id from marks_r where malformed or idx < 0 or (content <> '' and hash is not null and left({sql.digest('content')}, length(hash)) <> hash) union select doc_id from dup union select doc_id from odd)
+select b.doc_id, m.id, b.content as text, {sql.digest('b.content')} as body_hash from blocks_r b join marks_r m on m.doc_id = b.doc_id and m.pos = b.pos where b.idx >= 0 and m.id is not null and not m.malformed and b.doc_id not in (select doc_id from bad)""",
 }
