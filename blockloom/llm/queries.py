@@ -264,4 +264,54 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {}
+_ITEMS = "select 'blocks' as item_table, block_id as item_id, content as text from blocks union select 'chunks', row_id, text from chunks"
+_PASSAGES = """select 'blocks' as item_table, block_id as id, content as text from blocks where content is not null
+union select 'selectors', selector_id, concat_ws(' ', coalesce(prefix, ''), coalesce(quote, ''), coalesce(suffix, '')) from selectors"""
+# Bags of words of every class of equal texts, and the common words of every pair that shares any: brute force.
+_ALIKE = rf"""with items as ({_PASSAGES}), members as (select item_table, id, min(id) over (partition by item_table, text) as class_id, text from items),
+heads as (select item_table, id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda w: w <> '') as ws from members where id = class_id),
+sized as (select item_table, id, len(ws) as n, ws from heads), counted as (select item_table, id, n, w, count(*) as k from (select item_table, id, n, unnest(ws) as w from sized where n >= 20) group by all),
+common as (select a.item_table, a.id as a, b.id as b, any_value(a.n) as n_a, any_value(b.n) as n_b, sum(least(a.k, b.k)) as c from counted a join counted b on a.item_table = b.item_table and a.w = b.w and a.id < b.id group by 1, 2, 3),
+links as (select item_table, a, b from common where 10 * c >= 7 * (n_a + n_b - c)),
+named as (select m.item_table, m.id, m.class_id, n from members m join sized s on s.item_table = m.item_table and s.id = m.class_id)"""
+_BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _longest(pieces: str) -> str:
+    """Code points of the longest of a list of texts, trimmed."""
+    return f"list_max(list_transform({pieces}, lambda x: length(trim(x, {_BLANK}))))"
+
+
+# Texts are cut at paragraphs by a walk over their lines that knows whether it stands in a code fence.
+_CUTS = rf"""with recursive items as ({_ITEMS}),
+big as (select i.item_table, item_id, regexp_replace(text, '\r\n?', chr(10), 'g') as t, max_size - overlap as most from items i join (select distinct item_table, max_size, overlap from size_limits where unit = 'chars') s on s.item_table = i.item_table where length(text) > max_size),
+numbered as (select item_table, item_id, most, string_split(t, chr(10)) as ls from big),
+walk as (
+  select item_table, item_id, most, ls, 0 as i, '' as fence, false as blank from numbered
+  union all
+  select item_table, item_id, most, ls, i + 1,
+    case when fence = '' and regexp_matches(ls[i + 1], '^ {{0,3}}(`{{3,}}[^`]*|~{{3,}}.*)$') then regexp_extract(ls[i + 1], '^ {{0,3}}(`{{3,}}|~{{3,}})', 1)
+         when fence <> '' and regexp_matches(ls[i + 1], '^ {{0,3}}(`{{3,}}|~{{3,}})[ \t]*$') and left(trim(ls[i + 1]), 1) = left(fence, 1) and length(trim(ls[i + 1], ' ' || chr(9))) >= length(fence) then '' else fence end,
+    fence = '' and trim(ls[i + 1], {_BLANK}) = ''
+  from walk where i < len(ls)),
+parts as (select item_table, item_id, most, ls[i] as l, i, sum(case when blank then 1 else 0 end) over (partition by item_table, item_id order by i) as part from walk where i > 0),
+paragraphs as (select item_table, item_id, max(length(trim(x, {_BLANK}))) as longest from (select item_table, item_id, part, string_agg(l, chr(10) order by i) as x from parts group by 1, 2, 3) group by 1, 2)"""
+
+SQL: dict[str, str] = {
+    "p3_found": _ALIKE + """, pairs as (select l.item_table, least(x.id, y.id) as id_a, greatest(x.id, y.id) as id_b from links l join named x on x.item_table = l.item_table and x.class_id = l.a join named y on y.item_table = l.item_table and y.class_id = l.b)
+select item_table, id_a, id_b from pairs union select x.item_table, x.id, y.id from named x join named y on x.item_table = y.item_table and x.class_id = y.class_id and x.id < y.id where x.n >= 20""",
+    "p3_classes": _ALIKE + """, sizes as (select item_table, class_id, count(*) as n, any_value(n) as words from named group by 1, 2),
+both_ways as (select item_table, a, b from links union all select item_table, b, a from links),
+others as (select w.item_table, w.a as class_id, sum(s.n) as others from both_ways w join sizes s on s.item_table = w.item_table and s.class_id = w.b group by 1, 2)
+select m.item_table, m.id as item_id, m.class_id, cast(coalesce(others, 0) + case when words >= 20 then s.n - 1 else 0 end as bigint) as n_links from named m join sizes s on s.item_table = m.item_table and s.class_id = m.class_id left join others o on o.item_table = m.item_table and o.class_id = m.class_id""",
+    "p4_found": _CUTS + rf"""
+select item_table, item_id, case when longest <= most then 'paragraph' when {_longest("string_split(t, chr(10))")} <= most then 'line'
+  when {_longest(r"regexp_split_to_array(regexp_replace(regexp_replace(t, '([.!?])[ \t]', '\1' || chr(10), 'g'), '。', '。' || chr(10), 'g'), '\n')")} <= most then 'sentence'
+  when {_longest(r"regexp_split_to_array(t, '[ \t\n]+')")} <= most then 'word' else 'char' end as boundary from big join paragraphs using (item_table, item_id)""",
+    # the shares leave room for the choice of a unit, so that code points stand for tokens
+    "p8_found": """with sized as (select lower(trim(source)) as source, sum(length(text)) as own from documents where source is not null group by 1), total as (select sum(own) as total from sized),
+targets as (select mix_id, lower(trim(source)) as source, target_weight / sum(target_weight) over (partition by mix_id) * size_ratio as share, max_repeats from mix_targets)
+select mix_id, t.source from targets t cross join total left join sized s on s.source = t.source where share * total > coalesce(own, 0) * max_repeats""",
+    # no document is near the limit, so that four code points stand for a token
+    "p7_found": "select doc_id from documents where length(text) / 4 > (select min(max_size) from size_limits where item_table = 'documents' and unit = 'tokens')",
+}
