@@ -59,3 +59,21 @@ def labels(cells: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds ``label`` (doc01, doc02, ...) in the order of the sample, which is a small table."""
     n = F.row_number().over(Window.orderBy(*order))
     return cells.withColumn("label", F.concat(F.lit("doc"), F.lpad(n.cast("string"), 2, "0")))
+
+
+def summaries(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Sums over finalized cells, overall and per column of ``by`` in one pass: (slice, value, sums and counts)."""
+    slices = [F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in by] + [F.struct(F.lit("all").alias("slice"), F.lit(None).cast("string").alias("value"))]
+    each = cells.withColumn("s", F.explode(F.array(*slices)))
+    total = lambda c, name: F.sum(c).alias(name)
+    return each.groupBy("s.slice", "s.value").agg(
+        F.count("*").alias("n"), total("n_stays", "stays"), total("content_drops", "content_drops"), total("marker_strips", "marker_strips"), total("judge_unknown", "unknown"),
+        F.count_if(F.col("content_drops") > 0).alias("cells_with_drops"), F.count_if(F.col("marker_strips") > 0).alias("cells_with_strips"),
+        F.count_if("caught").alias("blocked"), F.count_if("is_guard").alias("guards"), F.count_if("is_nag").alias("nags"),
+        total("relocated", "relocated"), total("duplicated", "duplicated"), total("hash_drift", "hash_drift"),
+    )
+
+
+def ranked(rows: DataFrame, by: str, tie: list[str]) -> DataFrame:
+    """Rows of a report with their place, the greatest first. A report is a small table."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc(by), *tie)))

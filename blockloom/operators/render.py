@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import html
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -113,22 +113,59 @@ def sanitized(runs: DataFrame) -> DataFrame:
     return _verdict(rows, cases, "ID_SURVIVES", F.lit("id preserved verbatim"))
 
 
-def worst(verdicts: DataFrame, by: list[str], axis: str = "axis") -> DataFrame:
-    """The worst verdict of each group by the order of its axis; unknown ones are the best."""
+def severity(axis: Column, verdict: Column) -> Column:
+    """Place of a verdict in the order of its axis, 0 the worst; 99 of an unknown one."""
     rank = F.lit(99)
     for name, order in SEVERITY.items():
         for i, v in enumerate(order):
-            rank = F.when((F.col(axis) == name) & (F.col("verdict") == v), i).otherwise(rank)
-    return verdicts.groupBy(*by, axis).agg(F.min_by("verdict", F.struct(rank.alias("r"), "verdict")).alias("verdict"), F.countDistinct("verdict").alias("n_verdicts"), F.count("*").alias("n_fixtures"))
-
-
-def matrix(verdicts: DataFrame, primary: str | None = None) -> DataFrame:
-    """One cell per tool and axis: the verdict of the primary fixture if there is one, else the worst; whether fixtures
-    differ; a remedy where it is not green."""
-    cells = worst(verdicts, ["tool"])
-    if primary is not None:
-        p = verdicts.where(F.col("fixture") == primary).groupBy("tool", "axis").agg(F.min("verdict").alias("own"))
-        cells = cells.join(p, ["tool", "axis"], "left").withColumn("verdict", F.coalesce("own", "verdict")).drop("own")
-    green = F.col("verdict").isin("SURVIVES", "INVISIBLE", "ID_SURVIVES")
-    note = F.when(~green, "see the remedy of this tool").when(F.col("n_verdicts") > 1, "some fixtures differ")
-    return cells.withColumn("divergent", F.col("n_verdicts") > 1).withColumn("note", note)
+            rank = F.when((axis == name) & (verdict == v), i).otherwise(rank)
+    return rank
+
+
+def worst(verdicts: DataFrame, by: list[str], axis: str = "axis") -> DataFrame:
+    """The worst verdict of each group by the order of its axis; unknown ones are the best."""
+    order = F.struct(severity(F.col(axis), F.col("verdict")).alias("r"), "verdict")
+    return verdicts.groupBy(*by, axis).agg(F.min_by("verdict", order).alias("verdict"), F.countDistinct("verdict").alias("n_verdicts"), F.count("*").alias("n_fixtures"))
+
+
+# The tools of the matrix as (tool, label, axis, fixtures, primary fixture, remedy).
+_SOURCES = ("blocks", "blocks_trailing", "hash")
+TOOLS = [
+    ("prettier", "prettier", "roundtrip", _SOURCES, None, None),
+    ("mdformat", "mdformat", "roundtrip", _SOURCES, None, None),
+    ("remark", "remark + remark-stringify", "roundtrip", _SOURCES, None, None),
+    ("pandoc-gfm", "pandoc (gfm → gfm)", "roundtrip", _SOURCES, None, None),
+    ("pandoc-markdown", "pandoc (markdown → markdown)", "roundtrip", _SOURCES, None, "keep markers on a line of their own, or write gfm: markers that trail a line become raw code spans"),
+    ("remark-mdx", "remark-mdx (round-trip)", "roundtrip", ("mdx",), None, None),
+    ("github", "GitHub (cmark-gfm)", "render", _SOURCES, None, None),
+    ("markdown-it", "markdown-it (html: true)", "render", _SOURCES, None, None),
+    ("markdown-it-default", "markdown-it (default, html: false)", "render", _SOURCES, None, "set html: true; by default the comment is escaped and can be read"),
+    ("marked", "marked", "render", _SOURCES, None, None),
+    ("python-markdown", "python-markdown (MkDocs)", "render", _SOURCES, None, None),
+    ("mdx", "MDX (@mdx-js/mdx)", "render", ("mdx", "blocks"), "mdx", "use the {/* */} form: an HTML comment is no MDX"),
+    ("rehype-sanitize", "rehype-sanitize", "sanitize", ("blocks", "blocks_trailing"), None, "link to the id with its prefix user-content-"),
+    ("dompurify", "DOMPurify", "sanitize", ("blocks", "blocks_trailing"), None, None),
+]
+TOOL = "tool string, label string, axis string, fixtures array<string>, primary string, remedy string"
+
+
+def tools(spark: SparkSession) -> DataFrame:
+    """The tools as a table of one row each."""
+    return spark.createDataFrame([(*t[:3], list(t[3]), *t[4:]) for t in TOOLS], TOOL)
+
+
+def matrix(verdicts: DataFrame, dimension: DataFrame) -> DataFrame:
+    """One cell per tool of ``dimension`` (see :func:`tools`) on its axis: the verdict of its primary fixture if it has
+    one, else the worst; whether fixtures differ; the note with the remedy where the cell, or any fixture, is not green.
+
+    ``verdicts`` has tool, axis, fixture, verdict and note. Tools without a run have no cell.
+    """
+    rows = verdicts.join(F.broadcast(dimension.select("tool", "axis", "label", "primary", "remedy")), ["tool", "axis"])  # a few tools
+    rows = rows.withColumn("own", F.coalesce(F.col("fixture") == F.col("primary"), F.lit(False)))
+    bad = ~F.col("verdict").isin("SURVIVES", "INVISIBLE", "ID_SURVIVES")
+    cells = rows.groupBy("tool", "axis", "label", "remedy").agg(
+        F.min_by(F.struct("verdict", "note"), F.struct(~F.col("own"), severity(F.col("axis"), F.col("verdict")), "verdict", "note")).alias("v"),
+        (F.countDistinct("verdict") > 1).alias("divergent"), F.count_if(bad).alias("n_bad"), F.count("*").alias("n_fixtures"),
+    )
+    note = F.when(F.col("remedy").isNotNull() & (F.col("n_bad") > 0), F.concat(F.col("v.note"), F.lit("; "), F.col("remedy"))).otherwise(F.col("v.note"))
+    return cells.select("tool", "axis", "label", F.col("v.verdict").alias("verdict"), "divergent", "n_bad", "n_fixtures", note.alias("note"))

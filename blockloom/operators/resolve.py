@@ -92,6 +92,8 @@ def resolve_under(anchor_rows: DataFrame, after: DataFrame, keys: list[str], set
     blocks = after.where("idx >= 0").select(*keys, F.struct("idx", "content", path.alias("path")).alias("b")).groupBy(*keys).agg(F.sort_array(F.collect_list("b")).alias("blocks"))
     rows = shares.join(blocks, keys, "left").select(*keys, "anchors", F.coalesce("blocks", F.array().cast("array<struct<idx:int,content:string,path:array<string>>>")).alias("blocks"))
     kept = rows.schema.fields[:-2]
+    # scores cost far more than moving texts, so the tasks are as many as the session shuffles to, whatever the size
+    rows = rows.withColumn("__deal", F.xxhash64(*keys, F.get("anchors", 0)["id"])).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__deal").drop("__deal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

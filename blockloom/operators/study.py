@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.headings import canonical_path
+from ..functions.similarity import body_score, bound, match_form
 from ..session import stored
 from . import perturb, resolve, score, segment
 
@@ -15,6 +21,8 @@ ARMS = [
     ("D12", False, "penalty", 0.12, None), ("C", False, "filter", 0.0, None), ("Cc", True, "filter", 0.0, None),
 ]
 CONTROL = "A"
+# Fixed value: edits that were thought of after results had been seen.
+POST_HOC = ("cross_section_move_edit",)
 
 
 class Study:
@@ -76,3 +84,47 @@ def margins(study: Study, values: tuple[float, ...] = (0.0, resolve.MARGIN)) ->
 def margin_ablation(study: Study, values: tuple[float, ...] = (0.0, resolve.MARGIN)) -> DataFrame:
     """Counts and rates by margin."""
     return score.rates(score.tally(margins(study, values), ["margin"]))
+
+
+def planned(scored: DataFrame) -> DataFrame:
+    """Adds ``planned``: whether an edit was named before results were seen. Report such rows apart from all rows."""
+    return scored.withColumn("planned", ~F.col("op").isin(*POST_HOC))
+
+
+def vetoes(report: DataFrame, by: tuple[str, ...] = ("op",)) -> DataFrame:
+    """Cells of an arm report that recover less or attach falsely more than the control."""
+    return score.against_control(report, "arm", CONTROL, list(by)).where("veto")
+
+
+def shape(documents: DataFrame, keys: list[str], n_ops: int, threshold: float = resolve.THRESHOLD) -> DataFrame:
+    """What documents hold for the study: blocks, distinct heading paths, blocks with a rival under another path, blocks
+    with rivals in their own section only, and uncontested ones. A rival is another block that scores at least the threshold.
+
+    A document is one row of an Arrow stage; bounds by letters and length keep most pairs from an exact score.
+    """
+    blocks = segment.blocks(documents, keys).where("idx >= 0").select(*keys, "idx", "line", "content")
+    rows = blocks.join(resolve.heading_paths(documents, keys), [*keys, "line"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "content", "path"))).alias("bs"))
+    kept = rows.schema.fields[:-1]
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+    def one(bs: list[dict]) -> tuple[int, int, int, int]:
+        forms, paths = [match_form(b["content"]) for b in bs], [canonical_path(b["path"]) for b in bs]
+        letters = [Counter(f) for f in forms]
+        near: list[set[int]] = [set() for _ in bs]
+        for i, f in enumerate(forms):
+            for j in range(i + 1, len(forms)):
+                if f and forms[j] and (bound(letters[i], len(f), letters[j], len(forms[j])) >= threshold or f in forms[j] or forms[j] in f):
+                    if body_score(f, forms[j]) >= threshold:
+                        near[i].add(j)
+                    if body_score(forms[j], f) >= threshold:
+                        near[j].add(i)
+        cross = sum(any(paths[j] != paths[i] for j in x) for i, x in enumerate(near))
+        return len(bs), len(set(paths)), cross, sum(1 for x in near if x) - cross
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(zip(*map(one, b.column(b.num_columns - 1).to_pylist()))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)], names=[*(f.name for f in kept), "blocks", "distinct_paths", "cross_section", "same_section"])
+
+    made = rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", blocks long, distinct_paths long, cross_section long, same_section long")
+    return made.select("*", (F.col("blocks") - F.col("cross_section") - F.col("same_section")).alias("uncontested"), (F.col("cross_section") * n_ops).alias("cross_section_cases"), (F.col("same_section") * n_ops).alias("same_section_cases"))

@@ -93,9 +93,15 @@ def sanitizer_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The renderers of the matrix, each in the part of a tool that treats markers in its way."""
+    part = F.create_map(*[F.lit(x) for pair in (("keeps", "markdown-it"), ("escapes", "markdown-it-default"), ("drops", "marked"), ("spans", "python-markdown"), ("fails", "mdx"), ("edits", "github")) for x in pair])
     runs = _runs(spark, sf_dir)
-    verdicts = render.rendered(runs).join(runs.select("run_id", "tool", "fixture"), "run_id").withColumn("axis", F.lit("render"))
-    return render.matrix(verdicts)
+    verdicts = render.rendered(runs).join(runs.select("run_id", F.try_element_at(part, F.col("tool")).alias("tool"), "fixture"), "run_id").withColumn("axis", F.lit("render"))
+    return render.matrix(verdicts, render.tools(spark))
+
+
+def tool_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.tools(spark).select("tool", "axis", F.size("fixtures").alias("n_fixtures"), F.col("primary").alias("main"), F.col("remedy").isNotNull().alias("has_remedy"))
 
 
 def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +112,36 @@ def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        child_items, child_findings, child_resolutions, child_diff, tree_spans, segmenter_agreement, wrapped_blocks, unwrapped_blocks, visible_text, roundtrip_verdicts, render_verdicts, mdx_verdicts, sanitizer_verdicts, tool_matrix, findings_json,
+        child_items, child_findings, child_resolutions, child_diff, tree_spans, segmenter_agreement, wrapped_blocks, unwrapped_blocks, visible_text, roundtrip_verdicts, render_verdicts, mdx_verdicts, sanitizer_verdicts, tool_matrix, tool_list, findings_json,
     )
 }
 
+_RUNS = r"""with runs as (
+  select d.doc_id || ':' || tool as run_id, tool, text as input, case tool when 'drops' then regexp_replace(text, '(?s)<!-- stay:.*?-->', '', 'g') when 'escapes' then replace(text, '<!-- stay:', '&lt;!-- stay:')
+    when 'spans' then regexp_replace(text, '(?s)(<!-- stay:.*?-->)', '`\1`{=html}', 'g') when 'edits' then replace(text, ' the ', ' each ') else text end as out, tool = 'fails' as failed
+  from documents d cross join (values ('keeps'), ('drops'), ('escapes'), ('spans'), ('fails'), ('edits')) t(tool) where text is not null),
+ids as (select *, list_distinct(regexp_extract_all(input, '(?s)(?:<!--|\{/\*)\s*stay:\s*([A-Za-z0-9_-]+)\s[^>]*?(?:-->|\*/\})', 1)) as i,
+  replace(replace(replace(replace(replace(regexp_replace(regexp_replace(out, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') as seen from runs),
+looked as (select *, list_sort(list_filter(i, lambda x: contains(seen, 'stay:' || x))) as leaked, list_filter(i, lambda x: regexp_matches(out, '<!--\s*stay:' || x || '\b')) as kept,
+  list_sort(list_filter(i, lambda x: regexp_matches(out, '"[^"]*stay:' || x || '\b'))) as quoted, list_filter(i, lambda x: contains(out, 'stay:' || x)) as there from ids),
+rendered as (select run_id, tool, case when failed then 'ERROR' when len(leaked) > 0 then 'LEAKED_VISIBLE' else 'INVISIBLE' end as verdict,
+  case when failed then 'no such option' when len(leaked) > 0 then 'marker(s) rendered as visible text: ' || array_to_string(leaked, ', ') when len(kept) > 0 then 'comment retained in HTML source (invisible)' else 'comment dropped from output (invisible)' end as note from looked)"""
+
 SQL = {
+    "render_verdicts": _RUNS + " select run_id, verdict, note from rendered",
+    "mdx_verdicts": _RUNS + """ select run_id, case when failed then 'ERROR' when len(quoted) > 0 then 'LEAKED_VISIBLE' else 'INVISIBLE' end as verdict,
+  case when failed then 'HTML-comment marker is invalid MDX (use the {/* */} form)' when len(quoted) > 0 then 'marker rendered as JSX text: ' || array_to_string(quoted, ', ')
+    when len(there) > 0 then 'compiles; marker hoisted to a JS comment, renders as an empty expression' else 'compiles; marker dropped, renders to nothing' end as note from looked""",
+    "tool_matrix": _RUNS + """, named as (select *, case tool when 'keeps' then 'markdown-it' when 'escapes' then 'markdown-it-default' when 'drops' then 'marked' when 'spans' then 'python-markdown' when 'fails' then 'mdx' else 'github' end as t,
+  case verdict when 'LEAKED_VISIBLE' then 0 when 'ERROR' then 1 else 2 end as rank from rendered),
+cells as (select t as tool, arg_min({'v': verdict, 'n': note}, {'r': rank, 'v': verdict, 'n': note}) as x, count(distinct verdict) > 1 as divergent, count(*) filter (verdict <> 'INVISIBLE') as n_bad, count(*) as n_fixtures from named group by 1)
+select c.tool, 'render' as axis, label, x.v as verdict, divergent, n_bad, n_fixtures, x.n || case when remedy is not null and n_bad > 0 then '; ' || remedy else '' end as note from cells c join (values
+  ('github', 'GitHub (cmark-gfm)', null), ('markdown-it', 'markdown-it (html: true)', null), ('markdown-it-default', 'markdown-it (default, html: false)', 'set html: true; by default the comment is escaped and can be read'),
+  ('marked', 'marked', null), ('python-markdown', 'python-markdown (MkDocs)', null), ('mdx', 'MDX (@mdx-js/mdx)', 'use the {/* */} form: an HTML comment is no MDX')) d(tool, label, remedy) on d.tool = c.tool""",
+    "tool_list": """select * from (values ('prettier', 'roundtrip', 3, null, false), ('mdformat', 'roundtrip', 3, null, false), ('remark', 'roundtrip', 3, null, false), ('pandoc-gfm', 'roundtrip', 3, null, false), ('pandoc-markdown', 'roundtrip', 3, null, true),
+  ('remark-mdx', 'roundtrip', 1, null, false), ('github', 'render', 3, null, false), ('markdown-it', 'render', 3, null, false), ('markdown-it-default', 'render', 3, null, true), ('marked', 'render', 3, null, false),
+  ('python-markdown', 'render', 3, null, false), ('mdx', 'render', 2, 'mdx', true), ('rehype-sanitize', 'sanitize', 2, null, true), ('dompurify', 'sanitize', 2, null, false)) t(tool, axis, n_fixtures, main, has_remedy)""",
+    "visible_text": _RUNS + " select cast(split_part(run_id, ':', 1) as bigint) as doc_id, seen as visible from looked where tool = 'keeps'",
     "sanitizer_verdicts": """select cast(doc_id as varchar) as run_id, case when doc_id % 10 = 1 then 'ID_STRIPPED' when doc_id % 10 = 2 then 'ID_PREFIXED' else 'ID_SURVIVES' end as verdict,
   case when doc_id % 10 = 1 then 'anchor id removed: b' || doc_id when doc_id % 10 = 2 then 'id kept but renamed (e.g. user-content-): #id deep link breaks' else 'id preserved verbatim' end as note from documents""",
     "findings_json": _FOUND + """ select doc_id, '[' || string_agg(json_merge_patch('{}', to_json({'level': level, 'code': code, 'message': message, 'id': id, 'line': line})), ',' order by r, line, code, pos, seq, step) || ']' as findings from ranked group by 1""",

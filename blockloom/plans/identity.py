@@ -127,6 +127,7 @@ def chunk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str, version) -> DataFrame:
+    """Keys of a cache. An id that several blocks carry is none; the query ``quarantined_ids`` lists these."""
     rows = diff.id_index(segment.blocks(version(spark, sf_dir), KEYS), KEYS).where("n = 1")
     return rows.select("doc_id", "id", T.body_hash(F.col("content")).alias("body_hash"))
 
@@ -149,7 +150,9 @@ def reembed_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cache.duplicate_records(_index(spark, sf_dir, edited), KEYS)
+    """Every block that carries an id counts, also where several carry the same."""
+    rows = segment.markers(_after(spark, sf_dir), KEYS).where("idx >= 0 and id is not null and not malformed")
+    return cache.duplicate_records(rows.select("doc_id", "id", T.body_hash(F.col("content")).alias("body_hash")), KEYS)
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,13 +216,17 @@ def study_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).select("doc_id", "n_stays", F.array_join("dropped", ",").alias("dropped"), "relocated", "duplicated", "hash_drift", "new_ids", "caught", F.array_join("block_reason", ",").alias("block_reason"))
 
 
-def study_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Guards and nags under replies that call every second section deleted and leave out the third."""
+def _judged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells under replies that call every second section deleted and leave out the third."""
     cells = _cells(spark, sf_dir)
     lines = F.transform("dropped", lambda _, i: F.when(i == 2, "").otherwise(F.concat((i + 1).cast("string"), F.lit(": "), F.when(i % 2 == 1, "DELETED").otherwise("SURVIVED"))))
     replies = cells.select("doc_id", F.array_join(lines, "\n").alias("reply"))
-    out = dogfood.finalized(cells, dogfood.judged(cells, replies, KEYS), KEYS)
-    return out.select("doc_id", "content_drops", "marker_strips", "judge_unknown", "is_guard", "is_nag")
+    return dogfood.finalized(cells, dogfood.judged(cells, replies, KEYS), KEYS)
+
+
+def study_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards and nags."""
+    return _judged_cells(spark, sf_dir).select("doc_id", "content_drops", "marker_strips", "judge_unknown", "is_guard", "is_nag")
 
 
 def eligible_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,6 +280,10 @@ per as (select doc_id, string_agg(id, ',' order by id) filter (code = 'DROPPED_I
 cells as (select coalesce(n.doc_id, p.doc_id) as doc_id, coalesce(n_stays, 0) as n_stays, coalesce(dropped, '') as dropped, coalesce(relocated, 0) as relocated, coalesce(duplicated, 0) as duplicated, coalesce(hash_drift, 0) as hash_drift,
   coalesce(new_ids, 0) as new_ids, coalesce(caught, false) as caught, coalesce(block_reason, '') as block_reason from named n full join per p on n.doc_id = p.doc_id)"""
 
+_JUDGED = _CELLS + """, ids as (select doc_id, unnest(string_split(dropped, ',')) as id, unnest(range(0, len(string_split(dropped, ',')))) as i from cells where dropped <> ''),
+votes as (select doc_id, count(*) filter (i <> 2 and i % 2 = 1) as d, count(*) filter (i <> 2 and i % 2 = 0) as s, count(*) filter (i = 2) as u from ids group by 1),
+judged as (select c.*, coalesce(d, 0) as content_drops, coalesce(s, 0) as marker_strips, coalesce(u, 0) as judge_unknown, caught and coalesce(d, 0) > 0 as is_guard, caught and coalesce(d, 0) = 0 as is_nag from cells c left join votes v on v.doc_id = c.doc_id)"""
+
 _SURVIVAL = r"""
 with r as (select doc_id, unnest(ls) as ln, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) as ls from documents where text is not null)),
 f as (select *, regexp_matches(ln, '\S') as nb from r), g as (select *, coalesce(lag(nb) over (partition by doc_id order by i), false) as pb from f),
@@ -343,13 +354,11 @@ select distinct doc_id, 'finding' as reason from found where level = 'error' or
 select coalesce(s.doc_id, i.doc_id) as doc_id, case when s.key is null then 'add' when i.key is null then 'delete' else 'skip' end as action, count(*) as n_keys from s full join i on s.key = i.key group by 1, 2""",
     "reembed_parity": _DECIDE + """, h as (select doc_id, count(*) as n from (select distinct doc_id, body_hash from w except select distinct doc_id, body_hash from o) group by 1), d as (select doc_id, count(*) as n from decided where action = 'reembed' group by 1)
 select coalesce(h.doc_id, d.doc_id) as doc_id, coalesce(h.n, 0) as by_hash, coalesce(d.n, 0) as by_id from h full join d on h.doc_id = d.doc_id""",
-    "duplicate_records": _DECIDE + " select doc_id, count(distinct body_hash) as by_hash, count(distinct id) as by_id from w group by 1",
+    "duplicate_records": _PAIRS + f" select doc_id, count(distinct {sql.digest('content')}) as by_hash, count(distinct id) as by_id from marks_a where idx >= 0 and id is not null and not malformed group by 1",
     "survival_cells": _SURVIVAL + " select *, intact / n_ids as intact_rate, present / n_ids as present_rate from cells",
     "survival_pivot": _SURVIVAL + " select marker, avg(intact / n_ids) filter (instructed) as told, avg(intact / n_ids) filter (not instructed) as naive from cells group by 1",
     "study_cells": _CELLS + " select * from cells",
-    "study_verdicts": _CELLS + """, ids as (select doc_id, unnest(string_split(dropped, ',')) as id, unnest(range(0, len(string_split(dropped, ',')))) as i from cells where dropped <> ''),
-v as (select doc_id, count(*) filter (i <> 2 and i % 2 = 1) as d, count(*) filter (i <> 2 and i % 2 = 0) as s, count(*) filter (i = 2) as u from ids group by 1)
-select c.doc_id, coalesce(d, 0) as content_drops, coalesce(s, 0) as marker_strips, coalesce(u, 0) as judge_unknown, caught and coalesce(d, 0) > 0 as is_guard, caught and coalesce(d, 0) = 0 as is_nag from cells c left join v on v.doc_id = c.doc_id""",
+    "study_verdicts": _JUDGED + " select doc_id, content_drops, marker_strips, judge_unknown, is_guard, is_nag from judged",
     "eligible_docs": r"""select doc_id, doc_path, cast(n as int) as n_words from (select *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) as n from documents)
 where doc_path like '%.md' and not regexp_matches(doc_path, '(^|/)INDEX\.md$') and contains(text, 'stay:') and n <= 400""",
     "perturb_reorder": _PB + " select doc_id, cast(n - 1 - i as int) as pos, text, id as ids from pb",

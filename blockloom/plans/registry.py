@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, identity, records, versions
+from . import documents, identity, records, scores, versions
 
 FLAGSHIP = "lint_summary"
-QUERIES = {**records.QUERIES, **versions.QUERIES, **identity.QUERIES, **documents.QUERIES}
-SQL = {**records.SQL, **versions.SQL, **identity.SQL, **documents.SQL}
+QUERIES = {**records.QUERIES, **versions.QUERIES, **identity.QUERIES, **documents.QUERIES, **scores.QUERIES}
+SQL = {**records.SQL, **versions.SQL, **identity.SQL, **documents.SQL, **scores.SQL}
