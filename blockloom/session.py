@@ -28,16 +28,36 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: dict[str, list[str]] = {}  # by application
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; see :func:`drop_scratch`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this application has written to the shared folder. Results that are still to be read need it: call this
+    when they have been."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The files of the shuffles behind it are of no more use; Spark removes them once the collector has seen that nothing
+    refers to them, so the driver is asked to collect.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()

@@ -13,7 +13,8 @@ def spark():
 
     session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.default.parallelism", "4").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    from blockloom.session import ship
+    from blockloom.session import drop_scratch, ship
 
     ship(session)
-    return session
+    yield session
+    drop_scratch(session)
