@@ -459,7 +459,7 @@ def links(heads: DataFrame, threshold: float = 0.7, region: int = REGION) -> Dat
     tasks = max(math.ceil(per * int(docs.sum()) / ROWS), spark.sparkContext.defaultParallelism)
     pairs = emitted.repartition(tasks, F.shiftright("key", 16)).mapInArrow(_join_regions(t), "kind int, a long, b long").distinct()
     named = spark.createDataFrame([(i, k) for i, k in enumerate(kinds)], "kind int, item_table string")
-    pairs = pairs.join(F.broadcast(named), "kind").select("item_table", "a", "b")
+    pairs = stored(pairs.join(F.broadcast(named), "kind").select("item_table", "a", "b"), "pairs")  # the rows of regions can go
     left = heads.select("item_table", F.col("id").alias("a"), F.col("tokens").alias("tokens_a"))
     right = heads.select("item_table", F.col("id").alias("b"), F.col("tokens").alias("tokens_b"))
     both = pairs.join(left, ["item_table", "a"]).join(right, ["item_table", "b"])
