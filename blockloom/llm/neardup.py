@@ -42,7 +42,7 @@ WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 18  # size of the table of counts, whatever the data
 REGION = 20_000  # a region expected to hold more documents is cut again
 DEPTH = 4  # most tokens that name a region
-ROWS = 120_000  # rows of regions that one task holds
+ROWS = 200_000  # rows of regions that one task holds
 PAIRS = 1 << 20  # pairs looked at closely in one step
 SMALL, BLOCK, WIDE = 24, 64, 2048  # rows of a small region; rectangles of a large one
 LONG, MOST = 80, 64  # tokens of a document that needs a wider sketch; most words of 64 bits of one
@@ -273,8 +273,9 @@ def _emit(kinds: list[str], t: Fraction, table, region: int):
         ids, size = b.column(1).to_numpy()[kept], size[kept]
         sk, more = _sketches(tokens, size)
         d, name, pos, role, side = _rows(kind, ids, size, tokens, counts, docs, t, region)
-        key = (name & ~_U(0xFFFF)) | np.minimum(size, 0xFFFF).astype(np.uint64)[d]
-        facts = (size[d] << 36) | (pos << 10) | (side << 8) | (role << 6) | kind[d]
+        key = ((name & ~_U(0xFFFF)) & _U((1 << 56) - 1)) | np.minimum(size, 0xFFFF).astype(np.uint64)[d]
+        beyond = np.where(size >= 0xFFFF, size, 0)  # sizes that a key cannot hold
+        facts = (beyond[d] << 36) | (pos << 10) | (side << 8) | (role << 6) | kind[d]
         is_long = size > LONG
         for z in (np.nonzero(~is_long[d])[0], np.nonzero(is_long[d])[0]):
             if len(z):
@@ -301,7 +302,8 @@ def _join_regions(t: Fraction):
         order = np.argsort(key)  # by region, then by size
         key, ids, facts, s0, s1 = key[order], *(col.column(i).to_numpy()[order] for i in (1, 2, 3, 4))
         s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
-        n, pos, side, role, kind = facts >> 36, (facts >> 10) & 0x3FFFFFF, (facts >> 8) & 3, (facts >> 6) & 3, facts & 63
+        shown = (key & _U(0xFFFF)).astype(np.int64)
+        n, pos, side, role, kind = np.where(shown == 0xFFFF, facts >> 36, shown), (facts >> 10) & 0x3FFFFFF, (facts >> 8) & 3, (facts >> 6) & 3, facts & 63
         more = col.column(5).combine_chunks()
         wide_of = np.full(len(key), -1, dtype=np.int64)
         has = np.nonzero(more.is_valid().to_numpy(zero_copy_only=False))[0]
@@ -360,7 +362,6 @@ def _join_regions(t: Fraction):
 
         # A row meets the rows after it in its region that are not too long for it. Small regions are paired by offset,
         # all of them at once; large ones in blocks, where whole rectangles of sketches are compared.
-        shown = (key & _U(0xFFFF)).astype(np.int64)
         longest = np.where(shown == 0xFFFF, 0xFFFF, shown * q // p)
         slack = np.where(shown == 0xFFFF, 1 << 20, (q - p) * (n + longest) // (p + q))  # most differing tokens with any such partner
         is_y = role & 2 > 0
