@@ -77,3 +77,32 @@ def test_every_edit_and_its_truth_has_a_query(spark, tmp_path):
     assert identity.QUERIES["perturb_cross_section_move_edit"](spark, str(tmp_path)).count() == 8
     truth = identity.QUERIES["truth_heading_delete"](spark, str(tmp_path)).collect()
     assert len(truth) == 8 and sum(r.accept is None for r in truth) == 1
+
+
+def test_rewrites_are_scored_by_their_markers(spark):
+    from blockloom.operators import rewrites
+
+    before = "# Guide\n<!-- stay:h -->\n\nThe archive keeps old files for a year.\n<!-- stay:a -->\n\nBackups run every night at two.\n<!-- stay:b -->\n\nNothing else here.\n<!-- stay:c -->\n"
+    after = "# Guide\n<!-- stay:h -->\n\nBackups run every single night at two.\n<!-- stay:b -->\n\nThe archive keeps old files for a year.\n<!-- stay:a -->\n"
+    df = lambda t: spark.createDataFrame([("d", t), ("n", None)], "doc string, text string")
+    from blockloom.session import stored
+
+    scored = stored(rewrites.score_blocks(df(before), df(after), K), "scored")
+    rows = {r.id: r for r in scored.collect()}
+    assert {i: r.cat for i, r in rows.items()} == {"h": "correct", "a": "correct", "b": "correct", "c": "no_truth"}
+    assert rows["b"].method == "quote" and 0.8 < rows["b"].sim < 1 and rows["a"].sim == 1.0 and rows["c"].gold is None
+    s = rewrites.summary(scored).first()
+    assert (s.n, s.correct, s.wrong, s.exact, s.quote_saves) == (3, 3, 0, 2, 1)
+    assert {(r.value, r.n) for r in rewrites.report(scored, ["method"]).where("slice = 'band'").collect()} == {("0.9-1.0", 2), ("0.7-0.9", 1)}
+    assert rewrites.summary(scored.limit(0)).first().n == 0
+
+
+def test_shape_and_matrix(spark):
+    from blockloom.operators import render
+
+    text = "# A\n\nThe archive keeps old files for a year.\n\n# B\n\nThe archive keeps old files for a week.\n\nSomething else altogether, quite so.\n"
+    r = study.shape(spark.createDataFrame([("d", text)], "doc string, text string"), K, 14).first()
+    assert (r.blocks, r.cross_section, r.same_section, r.cross_section_cases) == (5, 2, 2, 28) and r.uncontested == 1  # the two headings are like each other
+    v = [("mdx", "render", "mdx", "INVISIBLE", "fine"), ("mdx", "render", "blocks", "ERROR", "bad"), ("github", "render", "blocks", "INVISIBLE", "fine"), ("github", "render", "hash", "LEAKED_VISIBLE", "seen")]
+    cells = {r.tool: r for r in render.matrix(spark.createDataFrame(v, "tool string, axis string, fixture string, verdict string, note string"), render.tools(spark)).collect()}
+    assert cells["mdx"].verdict == "INVISIBLE" and cells["mdx"].note.startswith("fine; ") and cells["mdx"].divergent and cells["github"].verdict == "LEAKED_VISIBLE" and len(render.TOOLS) == 14
