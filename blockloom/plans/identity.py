@@ -398,3 +398,42 @@ odd as (select b.doc_id from blocks_r b left join marks_r m on m.doc_id = b.doc_
 bad as (select doc_id from marks_r where malformed or idx < 0 or (content <> '' and hash is not null and left({sql.digest('content')}, length(hash)) <> hash) union select doc_id from dup union select doc_id from odd)
 select b.doc_id, m.id, b.content as text, {sql.digest('b.content')} as body_hash from blocks_r b join marks_r m on m.doc_id = b.doc_id and m.pos = b.pos where b.idx >= 0 and m.id is not null and not m.malformed and b.doc_id not in (select doc_id from bad)""",
 }
+
+
+def _md(path: str) -> str:
+    return rf"(regexp_matches({path}, '\.(md|markdown)$') and not starts_with({path}, '.blockloom/'))"
+
+
+_LINTS = _FOUND[len(_DIRTY) :].replace("found as (", "lints as (").replace("from found)", "from lints)")
+_TWO_SIDES = "with " + sql.parse(tag="_b") + "," + sql.parse(sql.EDITED, "_a") + ","
+# One commit per repository. In these tables no deleted document shares an id with a new one, so that nothing is claimed;
+# the query over pairings would show it.
+_COMMITS = rf"""with later as ({sql.EDITED}), given as (select doc_id, repo, doc_id || '/' || doc_path as path, text, case length(text) % 8 when 0 then 'D' when 1 then 'A' when 2 then 'R' when 3 then 'C' else 'M' end as status
+  from documents where text is not null and repo is not null and doc_path is not null),
+entries as (select repo as commit_id, cast(g.doc_id as int) as seq, status, case when status = 'R' then 'old/' || path else path end as src, path as dst,
+  case when status not in ('A', 'C') then g.text end as before, case when status <> 'D' then l.text end as after from given g join later l on l.doc_id = g.doc_id),
+changed as (select *, case when status = 'R' and {_md('src')} and before is not null then src when status not in ('C', 'R') and before is not null then dst end as origin from entries where status <> 'D' and {_md('dst')}),
+gone as (select * from entries where {_md('src')} and (status = 'D' or status = 'R' and not {_md('dst')}))"""
+_COMMIT_FOUND = (
+    _COMMITS + "," + sql.parse("select dst as doc_id, coalesce(after, '') as text from changed") + _LINTS
+    + "," + sql.parse("select dst as doc_id, before as text from changed where origin is not null", "_b") + "," + sql.parse("select dst as doc_id, coalesce(after, '') as text from changed where origin is not null", "_a")
+    + "," + _PAIRS[len(_TWO_SIDES) :] + _DIFFS[len(_PAIRS) :]
+    + """,
+carried as (select distinct c.commit_id, m.id, c.dst as other from marks m join changed c on c.dst = m.doc_id where m.idx >= 0 and m.id is not null and not m.malformed),
+every as (select doc_id, level, code, message, id, line from lints union all select doc_id, level, code, message, id, null from found where code <> 'COLLECTION_SHRANK'),
+moves as (select c.commit_id, e.doc_id, e.id, string_agg(distinct k.other, ', ' order by k.other) as moved_to from every e join changed c on c.dst = e.doc_id join carried k on k.commit_id = c.commit_id and k.id = e.id and k.other <> e.doc_id where e.code = 'DROPPED_ID' group by 1, 2, 3),
+standing as (select c.commit_id, c.dst, c.origin, e.level, e.code, e.message, e.id, e.line, case when e.code = 'DROPPED_ID' then m.moved_to end as moved_to from every e join changed c on c.dst = e.doc_id left join moves m on m.doc_id = e.doc_id and m.id = e.id)"""
+)
+SQL |= {
+    "commit_pairings": _COMMITS + " select commit_id, seq, dst, origin from changed",
+    "commit_reports": _COMMIT_FOUND + " select commit_id, case when origin is null or origin = dst then dst else dst || ' (baseline ' || origin || ')' end as label, level, code, message, id, line from standing where moved_to is null",
+    "commit_gate": _COMMIT_FOUND + " select commit_id, bool_or(level = 'error' and moved_to is null) as has_errors from standing group by 1",
+    "commit_notes": _COMMIT_FOUND + "," + sql.parse("select src as doc_id, coalesce(before, '') as text from gone", "_g") + """,
+lost as (select distinct g.commit_id, g.src, g.status, g.dst, m.id from marks_g m join gone g on g.src = m.doc_id where m.idx >= 0 and m.id is not null and not m.malformed
+  and not exists (select 1 from changed c where c.commit_id = g.commit_id and c.origin = g.src) and not exists (select 1 from carried k where k.commit_id = g.commit_id and k.id = m.id)),
+listed as (select commit_id, src, status, dst, count(*) as n, list_sort(list(id)) as ids from lost group by 1, 2, 3, 4),
+shown as (select *, array_to_string(ids[1:6], ', ') || case when n > 6 then ', ...' else '' end as names from listed)
+select distinct commit_id, id || ': moved out of ' || coalesce(origin, dst) || ' into ' || moved_to || ' (still in this commit, not blocking)' as note from standing where moved_to is not null
+union select commit_id, case when status = 'R' then src || ': renamed to ' || dst || ', leaving Markdown tracking with ' || n || ' stay(s) not carried by another Markdown file (' || names || ')'
+  else src || ': deleted with ' || n || ' stay(s) that no staged file carries (' || names || ')' end from shown""",
+}
