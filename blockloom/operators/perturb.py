@@ -7,14 +7,13 @@ A document is a row with ``pb``, its blocks as array of (text, ids). An edit giv
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import bound, ratio
+from ..functions.similarity import EPS, Texts, matched
 from ..functions.text import block_id, body_hash, heading_level, kind
 
 PB = "array<struct<text:string,ids:array<string>>>"
@@ -229,16 +228,19 @@ def heading_delete(pb: Column) -> tuple[Column, Column]:
 
 def _least_rivalled(texts: list[str], candidates: list[int]) -> int | None:
     """The candidate whose greatest similarity to any other block is least; the first of equals, null without any."""
-    forms = [" ".join(t.strip().lower().split()) for t in texts]
-    letters = [Counter(f) for f in forms]
-    least, found = 2.0, None
+    near = Texts([" ".join(t.strip().lower().split()) for t in texts])
+    forms, least, found = near.forms, 2.0, None
     for i in candidates:
-        limits = sorted(((bound(letters[i], len(forms[i]), letters[j], len(f)), j) for j, f in enumerate(forms) if j != i and f), reverse=True) if forms[i] else []
+        f = forms[i]
+        if found is not None and any(matched(f, forms[j], enough=least * (len(f) + len(forms[j])) / 2 + EPS)[0] * 2.0 / (len(f) + len(forms[j])) >= least for j in near.relatives(i)):
+            continue
+        limits = sorted(((limit, j) for j, limit in enumerate(near.by_letters(f) if len(forms) <= near.FEW else near.by_order(f)) if j != i and forms[j]), reverse=True) if f else []
         most = 0.0
         for limit, j in limits:  # ends when no other can be nearer, or when this one cannot be the least
             if limit <= most or most >= least:
                 break
-            most = max(most, ratio(forms[i], forms[j]))
+            n = len(f) + len(forms[j])
+            most = max(most, 2.0 * matched(f, forms[j], most * n / 2 - EPS, least * n / 2 + EPS)[0] / n)
         if most < least:
             least, found = most, i
     return found

@@ -104,10 +104,9 @@ def resolve_under(anchor_rows: DataFrame, after: DataFrame, keys: list[str], set
                     own, each = canonical_path(a["path"]), []
                     for s in settings:
                         gate = s["threshold"] if s["gate"] is None else s["gate"]
-                        i, score, runner = near.best(a["quote"] or "", a["prefix"] or "", a["suffix"] or "", own, s["heading_mode"], s["weight"], gate, s["clamp"])
+                        i, score, runner = near.best(a["quote"] or "", a["prefix"] or "", a["suffix"] or "", own, s["heading_mode"], s["weight"], gate, s["clamp"], s["threshold"], s["margin"])
                         sure = i >= 0 and score >= s["threshold"] and score - runner >= s["margin"]
                         each.append({"method": "quote" if sure else "detached", "target": r["blocks"][i]["idx"] if sure else None, "score": score})
-                    near.bodies.clear()
                     for f in kept:
                         out[f.name].append(r[f.name])
                     out["id"].append(a["id"])

@@ -201,3 +201,31 @@ def test_render(spark):
     df = spark.createDataFrame([(n, x, o, rc, "boom\nx") for n, x, o, rc in runs], "run_id string, input string, out string, rc int, err string")
     assert {r.run_id: r.verdict for r in render.roundtrip(df).collect()} == {"keep": "SURVIVES", "drop": "DROPPED", "esc": "MANGLED", "span": "MANGLED", "err": "ERROR"}
     assert {r.run_id: r.verdict for r in render.rendered(df).collect()}["esc"] == "LEAKED_VISIBLE"
+
+
+def test_ratios_are_those_of_the_library_and_bounds_hold():
+    import random
+    from difflib import SequenceMatcher
+
+    from blockloom.functions.similarity import Texts, matched, reaches
+
+    draw = random.Random(3)
+    words = "the report of a late packet is sent once per hour before every stale cache was warmed again é".split()
+    for _ in range(300):
+        a, b = (" ".join(draw.choices(words, k=draw.randint(1, 20))) if draw.random() < 0.7 else "".join(draw.choices("ab ", k=draw.randint(1, 9))) for _ in "ab")
+        want = SequenceMatcher(None, a, b, autojunk=False).ratio()
+        assert ratio(a, b) == want and reaches(a, b, body_score(a, b)) and not reaches(a, b, body_score(a, b) + 1e-6)
+        low, high = matched(a, b, least=0.9 * (len(a) + len(b)) / 2)
+        assert 2 * low / (len(a) + len(b)) <= want <= 2 * high / (len(a) + len(b))
+        for near in (Texts([b]), Texts([b, "", *words, a])):
+            assert near.by_letters(a)[0] >= want and near.by_order(a)[0] >= want
+
+
+def test_a_long_document_is_scored_in_little_time():
+    import time
+
+    texts = [f"If {i * 7919 % 997} {'packets records drafts leases'.split()[i % 4]} are {'flushed merged counted'.split()[i % 3]} at once, then writer {i * 31} limits catalog {i * i} and summarizes the rest of report {i % 13}." for i in range(300)]
+    began, near = time.process_time(), Candidates([t + " (revised)" for t in texts])
+    assert [near.best(t, "", "", threshold=0.5, margin=0.05)[0] for t in texts] == list(range(300))
+    assert perturb._least_rivalled(texts, list(range(300))) is not None
+    assert time.process_time() - began < 20  # minutes with a score for every pair
