@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import copy
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.headings import canonical_path
-from ..functions.similarity import body_score, bound, match_form
+from ..functions.similarity import Texts, match_form, reaches
 from ..session import stored
 from . import perturb, resolve, score, segment
 
@@ -29,7 +29,7 @@ class Study:
     """Documents annotated and edited once; every setting of the resolver reads the same stored versions."""
 
     def __init__(self, documents: DataFrame, keys: list[str], ops: list[str], strip: bool = True, paths: bool = False):
-        self.keys, self.all = keys, ["op", *keys]
+        self.keys, self.all, self.paths = keys, ["op", *keys], paths
         base = stored(perturb.annotate(segment.blocks(documents, keys), keys), "annotated")
         before = base.select(*keys, perturb.serialize(F.col("pb"), False).alias("text"))
         applied = None
@@ -37,15 +37,27 @@ class Study:
             one = perturb.apply(base, keys, op)
             applied = one if applied is None else applied.unionByName(one)
         self.applied = stored(applied, "applied")
-        after = self.applied.select(*self.all, perturb.serialize(F.col("pb"), strip).alias("text"))
-        anchors, blocks = resolve.anchors(segment.blocks(before, keys), keys), segment.blocks(after, self.all)
+        anchors = resolve.anchors(segment.blocks(before, keys), keys)
         if paths:
             anchors = anchors.join(resolve.heading_paths(before, keys), [*keys, "line"])
-            blocks = blocks.join(resolve.heading_paths(after, self.all), [*self.all, "line"])
         self.anchors = stored(anchors.withColumn("op", F.explode(F.array(*map(F.lit, ops)))), "anchors")
-        self.blocks = stored(blocks, "after")
+        self.blocks = self._after(strip)
         self.truth = stored(perturb.truth_rows(self.applied, keys), "truth")
 
+    def _after(self, strip: bool) -> DataFrame:
+        """Blocks of the edited versions, without or with their markers."""
+        after = self.applied.select(*self.all, perturb.serialize(F.col("pb"), strip).alias("text"))
+        blocks = segment.blocks(after, self.all)
+        if self.paths:
+            blocks = blocks.join(resolve.heading_paths(after, self.all), [*self.all, "line"])
+        return stored(blocks, "after")
+
+    def with_markers(self, strip: bool) -> Study:
+        """The same edits with markers stripped or kept; what does not depend on that is not made again."""
+        other = copy.copy(self)
+        other.blocks = self._after(strip)
+        return other
+
     def scored(self, **setting) -> DataFrame:
         return score.scored(self.truth, resolve.resolve(self.anchors, self.blocks, self.all, **setting), self.all)
 
@@ -108,18 +120,28 @@ def shape(documents: DataFrame, keys: list[str], n_ops: int, threshold: float =
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
     def one(bs: list[dict]) -> tuple[int, int, int, int]:
-        forms, paths = [match_form(b["content"]) for b in bs], [canonical_path(b["path"]) for b in bs]
-        letters = [Counter(f) for f in forms]
-        near: list[set[int]] = [set() for _ in bs]
+        near, paths = Texts([match_form(b["content"]) for b in bs]), [canonical_path(b["path"]) for b in bs]
+        forms, cross, same = near.forms, 0, 0
         for i, f in enumerate(forms):
-            for j in range(i + 1, len(forms)):
-                if f and forms[j] and (bound(letters[i], len(f), letters[j], len(forms[j])) >= threshold or f in forms[j] or forms[j] in f):
-                    if body_score(f, forms[j]) >= threshold:
-                        near[i].add(j)
-                    if body_score(forms[j], f) >= threshold:
-                        near[j].add(i)
-        cross = sum(any(paths[j] != paths[i] for j in x) for i, x in enumerate(near))
-        return len(bs), len(set(paths)), cross, sum(1 for x in near if x) - cross
+
+            def rival(others: list[int], f: str = f) -> bool:
+                return any(reaches(f, forms[j], threshold) for j in others)
+
+            def close(limits: list[float], others: list[int], f: str = f) -> list[int]:
+                return sorted((j for j in others if limits[j] >= threshold or f in forms[j] or forms[j] in f), key=lambda j: -limits[j])
+
+            likely = [j for j in near.relatives(i) if paths[j] != paths[i]]
+            if f and rival(likely):
+                cross += 1
+                continue
+            others = close(near.by_letters(f), [j for j in range(len(forms)) if f and forms[j] and j != i and j not in likely])
+            if len(others) > near.FEW:
+                others = close(near.by_order(f), others)
+            if rival([j for j in others if paths[j] != paths[i]]):
+                cross += 1
+            elif rival([j for j in others if paths[j] == paths[i]]):
+                same += 1
+        return len(bs), len(set(paths)), cross, same
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -106,3 +106,31 @@ def test_shape_and_matrix(spark):
     v = [("mdx", "render", "mdx", "INVISIBLE", "fine"), ("mdx", "render", "blocks", "ERROR", "bad"), ("github", "render", "blocks", "INVISIBLE", "fine"), ("github", "render", "hash", "LEAKED_VISIBLE", "seen")]
     cells = {r.tool: r for r in render.matrix(spark.createDataFrame(v, "tool string, axis string, fixture string, verdict string, note string"), render.tools(spark)).collect()}
     assert cells["mdx"].verdict == "INVISIBLE" and cells["mdx"].note.startswith("fine; ") and cells["mdx"].divergent and cells["github"].verdict == "LEAKED_VISIBLE" and len(render.TOOLS) == 14
+
+
+def test_shape_is_that_of_all_pairs_and_a_long_document_takes_little_time(spark):
+    import random
+    import time
+
+    from blockloom.functions.similarity import body_score, match_form
+
+    draw = random.Random(4)
+    words = "the report of a late packet is sent once per hour before every stale cache was warmed again".split()
+    sections = [[" ".join(draw.choices(words, k=draw.randint(1, 14))) for _ in range(draw.randint(1, 9))] for _ in range(4)]
+    text = "\n\n".join(x for k, s in enumerate(sections) for x in [f"# {'ABCD'[k] * 30}", *s]) + "\n"
+    blocks = [(x, "") if j < 0 else (x, k) for k, s in enumerate(sections) for j, x in enumerate([f"# {'ABCD'[k] * 30}", *s], -1)]
+    rivals = [{"same" if p == q else "cross" for j, (y, q) in enumerate(blocks) if j != i and body_score(match_form(x), match_form(y)) >= 0.5} for i, (x, p) in enumerate(blocks)]
+    long = "\n\n".join(f"Then writer {i * 31} limits catalog {i * i}, and the {words[i % 17]} {words[i * 7 % 17]} of report {i * 7919 % 997} summarizes the rest at {i % 13}." for i in range(400)) + "\n"
+    began = time.time()
+    got = {r.doc: r for r in study.shape(spark.createDataFrame([("a", text), ("long", long), ("n", None)], "doc string, text string"), K, 14).collect()}
+    assert time.time() - began < 40  # 80,000 pairs, minutes with a score for each
+    assert (got["a"].cross_section, got["a"].same_section) == (sum("cross" in r for r in rivals), sum(r == {"same"} for r in rivals)) and got["long"].blocks == got["long"].same_section == 400
+
+
+def test_markers_stripped_and_kept_share_one_study(spark):
+    df = spark.createDataFrame([("a", TEXT)], "doc string, text string")
+    ops = ["reorder", "heavy_paraphrase"]
+    one = study.Study(df, K, ops)
+    other, alone = one.with_markers(False), study.Study(df, K, ops, strip=False)
+    assert other.applied is one.applied and other.anchors is one.anchors and other.truth is one.truth
+    assert sorted(map(str, other.scored().collect())) == sorted(map(str, alone.scored().collect()))
