@@ -123,7 +123,7 @@ def test_shape_is_that_of_all_pairs_and_a_long_document_takes_little_time(spark)
     long = "\n\n".join(f"Then writer {i * 31} limits catalog {i * i}, and the {words[i % 17]} {words[i * 7 % 17]} of report {i * 7919 % 997} summarizes the rest at {i % 13}." for i in range(400)) + "\n"
     began = time.time()
     got = {r.doc: r for r in study.shape(spark.createDataFrame([("a", text), ("long", long), ("n", None)], "doc string, text string"), K, 14).collect()}
-    assert time.time() - began < 40  # 80,000 pairs, minutes with a score for each
+    assert time.time() - began < 15  # 80,000 pairs
     assert (got["a"].cross_section, got["a"].same_section) == (sum("cross" in r for r in rivals), sum(r == {"same"} for r in rivals)) and got["long"].blocks == got["long"].same_section == 400
 
 
